@@ -60,11 +60,12 @@ def _starts(words: Column, least: int) -> Column:
 def _seeds(words: Column, starts: Column, masks: tuple[str, ...]) -> Column:
     """array<struct<at, seed>> of all masks that fit at the starts."""
 
-    def by(mask: str) -> Column:
-        fit = F.filter(starts, lambda i: i + F.lit(len(mask)) <= F.size(words))
+    def by(mask: str, some: Column) -> Column:
+        fit = F.filter(some, lambda i: i + F.lit(len(mask)) <= F.size(words))
         return F.transform(fit, lambda i: F.struct(i.alias("at"), _seed(words, i, mask).alias("seed")))
 
-    return F.concat(*map(by, masks))
+    # the starts are bound to a variable, so that they are found once and not for each mask
+    return F.flatten(F.transform(F.array(starts), lambda some: F.concat(*(by(m, some) for m in masks))))
 
 
 def benchmark_seeds(items: DataFrame, p: Decontaminate) -> DataFrame:
@@ -94,8 +95,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, params: Decontaminate | None =
     words = F.col("words")
 
     def passes(i: Column) -> Column:
-        bit = F.pmod(_pair(words, i), F.lit(1 << BITS))
-        return F.get(bitmap, F.shiftright(bit, 6).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))) != 0
+        def is_set(bit: Column) -> Column:
+            return F.get(bitmap, F.shiftright(bit, 6).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))) != 0
+
+        return F.exists(F.array(F.pmod(_pair(words, i), F.lit(1 << BITS))), is_set)
 
     split = src.select("doc_id", "key", tokens(F.col("text")).alias("words"))
     starts = F.filter(_starts(words, min(map(len, p.masks))), passes)
