@@ -10,9 +10,13 @@ the probability of the weighted Jaccard similarity.
 
 Bands of coordinates are joined, each bucket's members are held against one
 leader, and the exact weighted similarity decides.  Buckets that still hold
-several classes are searched on until each pair of texts in it was held
-against each other or is in one class, so no link between classes is lost and
-no bucket is expanded into all pairs.
+several classes are searched on.  Small ones give their pairs across classes
+for verification.  The members of larger ones, with ``wide`` more coordinates
+of a byte each, meet in blocks inside a task, which passes on only pairs that
+these coordinates put within five standard deviations of the threshold, and of
+sure ones only as many as join classes.  That goes on until no bucket gives a
+pair that was not verified, so no link between classes is lost and no bucket
+is expanded into rows of all its pairs.
 
 Defined cases: a null text counts as empty; texts without a word are of one
 class only with byte-equal texts; equal rows are one document; rows with null
@@ -45,8 +49,10 @@ class NearDedup:
     similarity: float = 0.8
     bands: int = 20
     rows: int = 5
-    #: Buckets of up to so many texts are finished in one step; larger ones leader by leader.
-    small_bucket: int = 32
+    #: Buckets of up to so many texts give all their pairs across classes.
+    small_bucket: int = 16
+    wide: int = 512
+    block: int = 1024
     broadcast_bytes: int = 32 << 20
 
 
@@ -161,6 +167,70 @@ def _verifier(p: NearDedup):
     return run
 
 
+def _wide_sketcher(p: NearDedup):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[bytes] = []
+            for a, b, e, o, w in _elements(batch.column("text"), p.shingle):
+                out += [bytes(x) for x in (dart_signatures(e, o, w, b - a, p.wide) & U(255)).astype(np.uint8)]
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(out, pa.binary())], ["digest", "wide"])
+
+    return run
+
+
+def _block_pairs(rows: list[dict], p: NearDedup) -> Iterator[tuple[bytes, bytes]]:
+    """Pairs across classes of one block, or of two, that may reach the similarity."""
+    margin = 5 * math.sqrt(p.similarity * (1 - p.similarity) / p.wide)
+    sure = min(p.similarity + margin / 2, 1.0)
+    wide = np.frombuffer(b"".join(r["wide"] for r in rows), np.uint8).reshape(len(rows), p.wide)
+    labels, label = np.unique(np.array([r["label"] for r in rows], object), return_inverse=True)
+    side = np.array([r["mine"] for r in rows])
+    two = rows[0]["lo"] != rows[0]["hi"]
+    found: list[tuple[np.ndarray, ...]] = []
+    for lo in range(0, len(rows), 32):
+        near = (wide[lo : lo + 32, None, :] == wide[None, lo:, :]).sum(2, dtype=np.int32) / p.wide
+        i, j = np.nonzero(near >= p.similarity - margin)
+        keep = (j > i) & (label[i + lo] != label[j + lo]) & ((side[i + lo] != side[j + lo]) | (not two))
+        found.append((near[i[keep], j[keep]], i[keep] + lo, j[keep] + lo))
+    near, i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+    parent = list(range(len(labels)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for k in np.argsort(-near, kind="stable").tolist():
+        a, b = root(label[i[k]]), root(label[j[k]])
+        if a != b:
+            if near[k] >= sure:
+                parent[a] = b
+            yield tuple(sorted((rows[i[k]]["digest"], rows[j[k]]["digest"])))
+
+
+def _blocker(p: NearDedup):
+    """Blocks arrive one after the other (sorted by bucket and block)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+
+        def done() -> pa.RecordBatch:
+            pairs = list(dict.fromkeys(_block_pairs(held, p)))
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.binary()), pa.array([y for _, y in pairs], pa.binary())], ["a", "b"])
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if held and any(held[0][c] != r[c] for c in ("band", "h", "lo", "hi")):
+                    yield done()
+                    held = []
+                held.append(r)
+        if held:
+            yield done()
+
+    return run
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each connected component of edges (a, b).
 
@@ -200,41 +270,45 @@ def near_classes(docs: DataFrame, params: NearDedup | None = None, id_col: str =
     buckets = members.groupBy("band", "h").agg(F.min("digest").alias("leader"), F.count("*").alias("n")).where("n > 1")
     buckets = cut(buckets.join(members, ["band", "h"]), "buckets")
     tried = cut(buckets.where("leader <> digest").select(F.col("leader").alias("a"), F.col("digest").alias("b")).distinct(), "pairs")
-    edges = None
+    edges = labels = None
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct().join(texts.select("digest", "first_id"), "digest")
-        needed = cut(needed, "needed")
+    def fetch(digests: DataFrame) -> DataFrame:
+        """(digest, text) of some texts, one row for each."""
+        needed = cut(digests.distinct().join(texts.select("digest", "first_id"), "digest"), "needed")
         small = maybe_broadcast(needed, needed.count(), 40, p.broadcast_bytes)
         whole = src.join(small.withColumnRenamed("digest", "d"), F.col("digest").eqNullSafe(F.col("d")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
-        whole = cut(whole.groupBy("digest").agg(F.first("text").alias("text")), "whole")
+        return whole.groupBy("digest").agg(F.first("text").alias("text"))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        whole = cut(fetch(pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest")))), "whole")
         x, y = (whole.select(F.col("digest").alias(c), F.col("text").alias(f"{c}_text")) for c in "ab")
         return cut(pairs.join(x, "a").join(y, "b").select("a", "a_text", "b", "b_text").mapInArrow(_verifier(p), "a binary, b binary, near boolean").where("near").select("a", "b"), "edges")
 
-    fresh = tried
-    led = buckets.select("band", "h", F.col("leader").alias("digest")).distinct()  # by bucket, the leaders so far
-    while True:
-        if not fresh.isEmpty():
-            found = verify(fresh)
-            edges = found if edges is None else cut(edges.unionByName(found), "edges")
-            labels = components(edges)
-        if edges is None:
-            break  # no text shares a bucket with another
+    def across(state: DataFrame, wide: DataFrame) -> DataFrame:
+        """Pairs of the larger buckets, found block by block."""
+        blocks = F.ceil(F.col("n") / p.block).cast("int")
+        units = state.select("band", "h", "digest", "label", F.pmod(F.xxhash64("digest"), blocks).cast("int").alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        units = units.select("band", "h", "digest", "label", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+        unit = ["band", "h", "lo", "hi"]
+        return units.join(wide, "digest").repartition(*unit).sortWithinPartitions(*unit).mapInArrow(_blocker(p), "a binary, b binary")
+
+    fresh, wide = tried, None
+    while not fresh.isEmpty():
+        found = verify(fresh)
+        edges = found if edges is None else cut(edges.unionByName(found), "edges")
+        labels = components(edges)
         # texts of buckets that still hold several classes; the rest needs no more links
         state = buckets.where("n > 2").join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("band", "h", "n", "digest", F.coalesce("label", "digest").alias("label"))
-        several = state.groupBy("band", "h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band", "h")
+        several = state.groupBy("band", "h").agg(F.min("label").alias("one"), F.max("label").alias("another")).where("one <> another").select("band", "h")
         state = cut(state.join(several, ["band", "h"]), "open")
-        small = state.where(F.col("n") <= p.small_bucket)
+        small, large = state.where(F.col("n") <= p.small_bucket), state.where(F.col("n") > p.small_bucket)
         other = small.select("band", "h", F.col("digest").alias("b"), F.col("label").alias("b_label"))
         pairs = small.withColumnRenamed("digest", "a").join(other, ["band", "h"]).where("a < b and label <> b_label").select("a", "b")
-        # larger buckets: the next text that did not lead is held against those of other classes
-        large = state.where(F.col("n") > p.small_bucket)
-        lead = cut(large.join(led, ["band", "h", "digest"], "left_anti").groupBy("band", "h").agg(F.min(F.struct("digest", "label")).alias("next")), "leads")
-        more = large.join(lead, ["band", "h"]).where("label <> next.label").select(F.least("digest", "next.digest").alias("a"), F.greatest("digest", "next.digest").alias("b"))
-        fresh = cut(pairs.unionByName(more).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        if fresh.isEmpty() and lead.isEmpty():
-            break
-        led = cut(led.unionByName(lead.select("band", "h", "next.digest")), "led")
+        if not large.isEmpty():
+            if wide is None:  # later steps need some of these texts
+                wide = cut(fetch(large.select("digest")).mapInArrow(_wide_sketcher(p), "digest binary, wide binary"), "wide")
+            pairs = pairs.unionByName(across(large, wide))
+        fresh = cut(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = cut(tried.unionByName(fresh), "pairs")
     if edges is None:
         classes = texts.select("digest", "first_id", "docs", F.col("digest").alias("class_digest"))
