@@ -51,7 +51,7 @@ class NearDedup:
     rows: int = 5
     #: Buckets of up to so many texts give all their pairs across classes.
     small_bucket: int = 16
-    wide: int = 512
+    wide: int = 2048
     block: int = 1024
     broadcast_bytes: int = 32 << 20
 
