@@ -266,30 +266,41 @@ def repeated_spans(docs: DataFrame, p: SuffixDedup) -> DataFrame:
             many = windows.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2")
             spans = spans.unionByName(windows.where("n = 1").join(many, ["w1", "w2"]).select("k1", "k2", "start", (F.col("start") + p.length).alias("end")))
     listed = spans.distinct().groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    return listed
+    return listed.mapInArrow(_merger, "k1 long, k2 long, spans array<struct<start:long,end:long>>")
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _merger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Overlapping and adjacent spans, in order, become one."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 1024):
+            part = batch.slice(lo, 1024)
+            out = []
+            for spans in part.column("spans").to_pylist():
+                merged: list[dict] = []
+                for s in spans:
+                    if merged and s["start"] <= merged[-1]["end"]:
+                        merged[-1]["end"] = max(merged[-1]["end"], s["end"])
+                    else:
+                        merged.append(s)
+                out.append(merged)
+            yield pa.RecordBatch.from_arrays([part.column("k1"), part.column("k2"), pa.array(out, _SPANS)], ["k1", "k2", "spans"])
 
 
 def _remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for batch in batches:
         data, offsets = column_bytes(batch.column("text"))
-        listed = batch.column("spans").to_pylist()
-        spans_out, kept = [], []
-        for k, spans in enumerate(listed):
-            raw = data[offsets[k] : offsets[k + 1]].tobytes()
-            merged: list[list[int]] = []
-            for s in spans or ():
-                if merged and s["start"] <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], s["end"])
-                else:
-                    merged.append([s["start"], s["end"]])
-            parts, at = [], 0
-            for a, b in merged:
-                parts.append(raw[at:a])
-                at = b
+        spans = [x or [] for x in batch.column("spans").to_pylist()]
+        kept = []
+        for k, gone in enumerate(spans):
+            raw, parts, at = data[offsets[k] : offsets[k + 1]].tobytes(), [], 0
+            for s in gone:
+                parts.append(raw[at : s["start"]])
+                at = s["end"]
             kept.append(b"".join([*parts, raw[at:]]))
-            spans_out.append([{"start": a, "end": b} for a, b in merged])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(spans_out, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(spans, _SPANS), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
 
 def dedup(docs: DataFrame, params: SuffixDedup | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
