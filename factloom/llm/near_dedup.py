@@ -186,12 +186,17 @@ def _block_pairs(rows: list[dict], p: NearDedup) -> Iterator[tuple[bytes, bytes]
     labels, label = np.unique(np.array([r["label"] for r in rows], object), return_inverse=True)
     side = np.array([r["mine"] for r in rows])
     two = rows[0]["lo"] != rows[0]["hi"]
+    before = np.array([r["bands"][: r["band"]] for r in rows], np.int64).reshape(len(rows), rows[0]["band"])
     found: list[tuple[np.ndarray, ...]] = []
     for lo in range(0, len(rows), 32):
         near = (wide[lo : lo + 32, None, :] == wide[None, lo:, :]).sum(2, dtype=np.int32) / p.wide
         i, j = np.nonzero(near >= p.similarity - margin)
         keep = (j > i) & (label[i + lo] != label[j + lo]) & ((side[i + lo] != side[j + lo]) | (not two))
-        found.append((near[i[keep], j[keep]], i[keep] + lo, j[keep] + lo))
+        i, j = i[keep], j[keep]
+        # a pair belongs to the first of the buckets that it shares
+        first = ~(before[i + lo] == before[j + lo]).any(1)
+        i, j = i[first], j[first]
+        found.append((near[i, j], i + lo, j + lo))
     near, i, j = (np.concatenate(x) for x in zip(*found, strict=True))
     parent = list(range(len(labels)))
 
@@ -306,7 +311,8 @@ def near_classes(docs: DataFrame, params: NearDedup | None = None, id_col: str =
         pairs = small.withColumnRenamed("digest", "a").join(other, ["band", "h"]).where("a < b and label <> b_label").select("a", "b")
         if not large.isEmpty():
             if wide is None:  # later steps need some of these texts
-                wide = cut(fetch(large.select("digest")).mapInArrow(_wide_sketcher(p), "digest binary, wide binary"), "wide")
+                wide = fetch(large.select("digest")).mapInArrow(_wide_sketcher(p), "digest binary, wide binary")
+                wide = cut(wide.join(texts.select("digest", "bands"), "digest"), "wide")
             pairs = pairs.unionByName(across(large, wide))
         fresh = cut(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = cut(tried.unionByName(fresh), "pairs")
