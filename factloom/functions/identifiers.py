@@ -143,13 +143,11 @@ def positional_score(position: Column, length: Column) -> Column:
 
 def context_lines(text: Column, name: Column, lines: int = 8, most: int = 600) -> Column:
     """From the line of the first occurrence, so many lines, trimmed and cut; empty where there is none."""
-    at = F.locate_column(text, name) if hasattr(F, "locate_column") else F.expr("0")
-    del at
-    spot = F.instr_column(text, name) if hasattr(F, "instr_column") else F.call_function("locate", name, text)
+    spot = F.call_function("locate", name, text)
     before = F.substring(text, F.lit(1), spot - 1)
     start = F.length(before) - F.length(F.substring_index(before, "\n", -1)) + 1
     rest = F.substring(text, spot, F.length(text))
-    tail = F.concat(F.substring_index(rest, "\n", lines), F.lit(""))
+    tail = F.substring_index(rest, "\n", lines)
     return F.when(spot == 0, "").otherwise(F.substring(F.trim(F.concat(F.substring(text, start, spot - start), tail)), 1, most))
 
 
