@@ -463,7 +463,7 @@ def q_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_greedy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = _trade(spark, sf_dir)
     matrix = graph.both_ways(edges).select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("weight").alias("n"))
-    return graph.greedy_clusters(matrix, 120)
+    return graph.greedy_clusters(matrix, 5)
 
 
 def queries() -> dict[str, Query]:

@@ -1,6 +1,7 @@
 """Every registered query of the engine's own operators against its SQL."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from factloom.plans import catalog
@@ -20,7 +21,7 @@ def duck():
 
 def rows(frame):
     def plain(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return "null"
         return f"{float(v):.6f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
