@@ -117,9 +117,15 @@ def band_hashes(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix(parts.sum(2, dtype=U) + seeded(bands, 13))
 
 
-def _elements(column, size: int):
+#: Darts that one step throws, about: with their places and ranks they take some 60 bytes each.
+DARTS = 1 << 20
+
+
+def _elements(column, size: int, k: int = 1):
+    """Elements of runs of texts whose signatures of ``k`` coordinates fit a worker."""
     data, offsets = column_bytes(pc.utf8_lower(column))
-    for a, b in chunks(offsets):
+    most = max(1, int(DARTS / (k * (math.log(k) + 2))))
+    for a, b in chunks(offsets, 1 << 20, most):
         part = offsets[a : b + 1]
         h, o = words(data[part[0] : part[-1]], part - part[0])
         yield a, b, *weighted(*shingles(h, o, b - a, size))
@@ -129,7 +135,7 @@ def _sketcher(p: NearDedup):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists: list = []
-            for a, b, e, o, w in _elements(batch.column("text"), p.shingle):
+            for a, b, e, o, w in _elements(batch.column("text"), p.shingle, p.bands * p.rows):
                 hashed = band_hashes(dart_signatures(e, o, w, b - a, p.bands * p.rows), p.bands, p.rows).view(np.int64)
                 some = np.bincount(o, minlength=b - a) > 0
                 sizes = np.where(some, p.bands, 0)
@@ -171,7 +177,7 @@ def _wide_sketcher(p: NearDedup):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[bytes] = []
-            for a, b, e, o, w in _elements(batch.column("text"), p.shingle):
+            for a, b, e, o, w in _elements(batch.column("text"), p.shingle, p.wide):
                 out += [bytes(x) for x in (dart_signatures(e, o, w, b - a, p.wide) & U(255)).astype(np.uint8)]
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(out, pa.binary())], ["digest", "wide"])
 

@@ -85,12 +85,12 @@ def column_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
-    """Runs of whole texts of about ``size`` bytes, as ranges of their indexes."""
+def chunks(offsets: np.ndarray, size: int = CHUNK, most: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Runs of whole texts of about ``size`` bytes, ``most`` texts at most, as ranges of their indexes."""
     n, at = len(offsets) - 1, 0
     while at < n:
         to = int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1
-        to = min(max(to, at + 1), n)
+        to = min(max(to, at + 1), at + most, n)
         yield at, to
         at = to
 

@@ -28,6 +28,7 @@ labels everything scores 0.
 
 from __future__ import annotations
 
+import pickle
 import unicodedata
 import uuid
 from collections import Counter
@@ -433,17 +434,31 @@ def fit(texts: list[str], labels: list[int], p: Toxicity, ids: list[int]) -> Mod
 
 
 def train(docs: DataFrame, labels: DataFrame, params: Toxicity | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on a bounded sample of the labelled rows whose crc32(id) modulo ``folds`` is not 0."""
+    """Fit, in one task, on a bounded sample of the labelled rows whose crc32(id) modulo ``folds`` is not 0."""
     p = params or Toxicity()
     key = F.col(id_col).cast("long")
     known = labels.select(key.alias("k"), F.col(label_col).cast("int").alias("y")).where(F.col("k").isNotNull() & F.col("y").isin(0, 1))
     known = known.where(F.crc32(F.col("k").cast("string").cast("binary")) % p.folds != 0).groupBy("k").agg(F.max("y").alias("y"))
     picked = [known.where(F.col("y") == c).orderBy(F.xxhash64("k"), "k").limit(n) for c, n in ((0, p.clean_rows), (1, p.toxic_rows))]
-    # the sample's bound is the broadcast's bound
+    # the sample's bound is the broadcast's bound, and that of the one task that fits the model
     sample = F.broadcast(picked[0].unionByName(picked[1]))
     rows = docs.select(key.alias("k"), F.col(text_col).alias("text")).where(F.length("text") <= p.train_chars).join(sample, "k")
-    rows = sorted({r["k"]: (r["text"], r["y"]) for r in rows.orderBy(F.xxhash64("k"), "text").limit(2 * (p.clean_rows + p.toxic_rows)).collect()}.items())
-    return fit([t for _, (t, _) in rows], [c for _, (_, c) in rows], p, [k for k, _ in rows])
+    rows = rows.orderBy(F.xxhash64("k"), "text").limit(2 * (p.clean_rows + p.toxic_rows))
+    made = rows.repartition(1).mapInArrow(_fitter(p), "model binary").collect()
+    return pickle.loads(bytes(made[0]["model"])) if made else Model(decay=p.decay)
+
+
+def _fitter(p: Toxicity):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, tuple[str, int]] = {}
+        for batch in batches:
+            for k, text, y in zip(*(batch.column(c).to_pylist() for c in ("k", "text", "y")), strict=True):
+                found[k] = min(found.get(k, (text, y)), (text, y))  # of rows with one id, always the same
+        rows = sorted(found.items())
+        model = fit([t for _, (t, _) in rows], [y for _, (_, y) in rows], p, [k for k, _ in rows])
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    return run
 
 
 def _applier(shipped):
