@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.identifiers import to_identifier
+from factloom.plans.scratch import cut
 
 #: The order in which kinds of evidence win ties.
 PHASES = {"init": 1, "usage": 2, "shape": 3, "prop_agg": 4, "destruct": 5, "call_arg": 6, "alias": 7}
@@ -101,6 +102,7 @@ def batches(df: DataFrame, order: list[str], size: int, out: str = "batch") -> D
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = ordered.withColumn("__id", F.monotonically_increasing_id())
     placed = placed.withColumns({"__part": F.shiftright("__id", 33), "__row": F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))})
+    placed = cut(placed, "ranges")  # the ranges are sampled, so they may be drawn only once
     counts = placed.groupBy("__part").agg(F.count("*").alias("__c"))
     before = F.coalesce(F.sum("__c").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("__part", before.alias("__start"))
