@@ -100,14 +100,14 @@ def q_sequence_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"""
     WITH c AS (SELECT token, count(*) AS n FROM ({_TOKENS}) GROUP BY token),
-    s AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, token) - 1 AS rank FROM c WHERE {_SCORE} > 0.4),
+    s AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, token) - 1 AS rank FROM c WHERE round({_SCORE}, 9) > 0.4),
     q AS (SELECT n AS place, {_NAME} AS name FROM (SELECT range AS n FROM range(5000)))
     SELECT token, n, rank, place, coalesce(abs(place - rank) < 20, false) AS rank_match,
       CASE WHEN n > 100 THEN 'critical' WHEN n > 20 THEN 'high' WHEN n > 5 THEN 'medium' ELSE 'low' END AS importance
     FROM s LEFT JOIN q ON token = name
 """)
 def q_rank_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = text.frequencies(_document_tokens(spark, sf_dir), "token").where(ids.minification_score(F.col("token")) > 0.4)
+    counts = text.frequencies(_document_tokens(spark, sf_dir), "token").where(F.round(ids.minification_score(F.col("token")), 9) > 0.4)
     ranked = evidence.batches(counts.withColumn("down", -F.col("n")), ["down", "token"], 1, "rank")
     places = spark.range(5000).select(F.col("id").alias("place"), ids.sequence_name(F.col("id")).alias("name"))
     found = ranked.join(F.broadcast(places), F.col("token") == F.col("name"), "left")
