@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import cut, digest, maybe_broadcast, small_batches, text_or_empty
-from factloom.llm.textbytes import U, column_bytes, chunks, mix, seeded, shingles, words
+from factloom.llm.textbytes import U, column_bytes, chunks, mix, seeded, shingles, trim, words
 
 
 @dataclass(frozen=True)
@@ -142,6 +142,7 @@ def _sketcher(p: NearDedup):
                 lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(hashed[some].reshape(-1))))
             bands = pa.concat_arrays(lists) if lists else pa.array([], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), bands], ["doc_id", "digest", "bands"])
+        trim()
 
     return run
 
@@ -169,6 +170,7 @@ def _verifier(p: NearDedup):
                     shared = np.minimum(wa[ia], wb[ib]).sum()
                     near.append(bool(shared >= p.similarity * (wa.sum() + wb.sum() - shared) - 1e-9))
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(near)], ["a", "b", "near"])
+        trim()
 
     return run
 
@@ -180,6 +182,7 @@ def _wide_sketcher(p: NearDedup):
             for a, b, e, o, w in _elements(batch.column("text"), p.shingle, p.wide):
                 out += [bytes(x) for x in (dart_signatures(e, o, w, b - a, p.wide) & U(255)).astype(np.uint8)]
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(out, pa.binary())], ["digest", "wide"])
+        trim()
 
     return run
 

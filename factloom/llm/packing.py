@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import small_batches, text_or_empty
 from factloom.llm.encode import append_id, encoder
-from factloom.llm.textbytes import column_bytes
+from factloom.llm.textbytes import column_bytes, trim
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_length long, sequence_cost double"
 
@@ -130,6 +130,7 @@ def _packer(p: Packing):
                 if held >= p.bin_tokens:
                     yield from flush()
         yield from flush()
+        trim()
 
     return run
 

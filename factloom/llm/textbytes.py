@@ -6,6 +6,7 @@ no Python object is made for a word or a shingle.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,11 +15,19 @@ import pyarrow.compute as pc
 
 U = np.uint64
 #: Bytes of text that one vectorised step works on, unless a single text is longer.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 _P = 0x9E3779B97F4A7C55 | 1
 _P_INV = pow(_P, -1, 1 << 64)
 
 
+def trim() -> None:
+    """Give freed memory back to the system, where the C library can: workers live on after a task."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of a 64-bit hash (xor-shift-multiply), on a copy."""
     x = x ^ (x >> U(33))

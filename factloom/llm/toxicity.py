@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import small_batches, text_or_empty
-from factloom.llm.textbytes import U, Rolling, mix
+from factloom.llm.textbytes import U, Rolling, mix, trim
 
 #: Classes of characters: 0 between words, 1-26 letters, 27 digits, 28-29 other letters, 30 a gap in a word, 31 a word's start.
 GAP, START, CLASSES = 30, 31, 32
@@ -457,6 +457,7 @@ def _fitter(p: Toxicity):
         rows = sorted(found.items())
         model = fit([t for _, (t, _) in rows], [y for _, (_, y) in rows], p, [k for k, _ in rows])
         yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
+        trim()
 
     return run
 
@@ -499,6 +500,7 @@ def _keeper(shipped, text_col: str):
             texts = [x or "" for x in batch.column(text_col).to_pylist()]
             if texts:
                 yield batch.filter(pa.array(_scorers[model.name].probabilities(texts) < 0.5))
+        trim()
 
     return run
 
