@@ -1,6 +1,7 @@
 """Every registered query of the engine's own operators against its SQL."""
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -23,7 +24,7 @@ def rows(frame):
     def plain(v):
         if pd.isna(v):
             return "null"
-        return f"{float(v):.6f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+        return f"{float(v):.6f}" if isinstance(v, (int, float, np.number)) and not isinstance(v, (bool, np.bool_)) else str(v)
 
     frame = frame[sorted(frame.columns)]
     return list(frame.columns), sorted(tuple(map(plain, r)) for r in frame.itertuples(index=False))
