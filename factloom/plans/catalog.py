@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import identifiers as ids
-from factloom.operators import evidence, graph, text
+from factloom.operators import evidence, graph, namer, naming, text
+from factloom.plans import recover
+from factloom.sources.beautify import beautify
+from factloom.sources.facts import facts
+from factloom.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -216,11 +220,11 @@ _SHAPES = (("buyer", 9, 1, 2, ("purchase", "view", "click")), ("newcomer", 8, 2,
 _SHAPE_ROWS = [(n, n, s, o, r, p) for n, s, o, r, ps in _SHAPES for p in ps]
 _SHAPE_SQL = "(VALUES " + ", ".join(f"('{a}', '{b}', {c}, {d}, {e}, '{f}')" for a, b, c, d, e, f in _SHAPE_ROWS) + ") r(rule, name, score, ordinal, required, prop)"
 _SHAPE_SCHEMA = "rule string, name string, score int, ordinal int, required int, prop string"
-_FEW = "(SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 3 = 0)"
+_FEW = "(SELECT DISTINCT user_id, event_type FROM events)"
 
 
 def _user_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _t(spark, sf_dir, "events").where("event_id % 3 = 0")
+    e = _t(spark, sf_dir, "events")
     return evidence.shapes(e, ["user_id"], "event_type")
 
 
@@ -312,12 +316,13 @@ def q_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(r"""WITH raw AS (SELECT p_partkey AS key, replace(p_name, ' ', '_') AS value FROM part), m AS (SELECT p_partkey AS key, replace(p_name, ' ', '_') AS value FROM part WHERE p_size = 1)
-    SELECT key, value FROM raw WHERE key % 3 <> 0 AND length(value) BETWEEN 3 AND 60 AND regexp_matches(value, '^[a-zA-Z_$][a-zA-Z0-9_$]*$') AND key NOT IN (SELECT key FROM m) AND value NOT IN (SELECT value FROM m)
+    SELECT key, value FROM raw WHERE key IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45) AND length(value) BETWEEN 3 AND 60 AND regexp_matches(value, '^[a-zA-Z_$][a-zA-Z0-9_$]*$') AND key NOT IN (SELECT key FROM m) AND value NOT IN (SELECT value FROM m)
     QUALIFY row_number() OVER (PARTITION BY value ORDER BY key) = 1""")
 def q_accept_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _t(spark, sf_dir, "part")
     raw = part.select(F.col("p_partkey").alias("key"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("value"), F.col("p_partkey").alias("ordinal"), "p_size")
-    found = evidence.accept_names(raw.drop("p_size"), raw.where("key % 3 <> 0").select("key"), raw.where("p_size = 1").select("key", "value"))
+    asked = _t(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("key"))
+    found = evidence.accept_names(raw.drop("p_size"), asked, raw.where("p_size = 1").select("key", "value"))
     return found.select("key", "value")
 
 
@@ -466,6 +471,92 @@ def q_greedy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.greedy_clusters(matrix, 5)
 
 
+
+_SCRIPT = r"regexp_extract(html, '<script[^>]*>([^<]*(?:<[^<]*)*?)</script>', 1)"
+
+
+def _scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """key, text: the inline script of every page."""
+    script = F.regexp_extract("html", r"<script[^>]*>([^<]*(?:<[^<]*)*?)</script>", 1)
+    return _t(spark, sf_dir, "pages").select(F.col("page_id").alias("key"), script.alias("text"))
+
+
+@_query(rf"""SELECT page_id AS key, 'variable' AS kind, regexp_extract(s, '\bvar (\w+)=', 1) AS name, 1::BIGINT AS line FROM (SELECT page_id, {_SCRIPT} AS s FROM pages) WHERE regexp_matches(s, '\bvar \w+=')""")
+def q_symbol_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The symbols of every page's script, by the parser."""
+    found = naming.symbols(facts(_scripts(spark, sf_dir), "key", "text"))
+    return found.select("key", "kind", "name", F.col("line").cast("long").alias("line"))
+
+
+@_query(rf"""SELECT page_id AS key, kind, detail, score::BIGINT AS score FROM (SELECT page_id, {_SCRIPT} AS s FROM pages),
+    (VALUES ('binding', '', 0), ('symbol', 'variable', 0), ('vote', 'function', 3), ('use', '', 0), ('init', 'str', 3)) v(kind, detail, score) WHERE regexp_matches(s, '^var t="</p>";track\(\d+\);$')""")
+def q_source_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All facts of the scripts: one declared text and one call of a number."""
+    found = facts(_scripts(spark, sf_dir), "key", "text")
+    return found.select("key", "kind", "detail", F.col("score").cast("long").alias("score"))
+
+
+#: A program for each part: a command, an instance, an alias, a promise, a handler; all names but the last are minified.
+_PROGRAM = """'var ab="/' || lower(replace(p_brand, '#', '')) || '";var cd=new ' || CASE WHEN p_size > 25 THEN 'Map' ELSE 'Set' END
+    || '();var ef=cd;var px=run' || p_partkey || '();px.then(cd);px.catch(cd);var hh;cd.on("' || CASE WHEN p_size > 25 THEN 'close' ELSE 'error' END || '",hh);var readableName=ab;'"""
+
+
+def _programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.expr(_PROGRAM).alias("text"))
+
+
+_NEW_NAMES = """SELECT p_partkey AS key, mangled, semantic FROM (SELECT p_partkey, unnest(['ab', 'cd', 'ef', 'px', 'hh']) AS mangled,
+    unnest(['CMD_' || upper(replace(p_brand, '#', '')), CASE WHEN p_size > 25 THEN 'map' ELSE 'set' END, CASE WHEN p_size > 25 THEN 'registry' ELSE 'pool' END, 'promise', CASE WHEN p_size > 25 THEN 'closeHandler' ELSE 'errorHandler' END]) AS semantic FROM part)"""
+
+
+@_query(_NEW_NAMES)
+def q_rename_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of many programs at once: initializers, usage, events, links."""
+    return naming.rename_map(facts(_programs(spark, sf_dir), "key", "text")).select("key", "mangled", "semantic")
+
+
+@_query(f"""SELECT p_partkey AS key, md5(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\\bab\\b', 'CMD_' || upper(replace(p_brand, '#', '')), 'g'), '\\bef\\b', CASE WHEN p_size > 25 THEN 'registry' ELSE 'pool' END, 'g'),
+    '\\bcd\\b', CASE WHEN p_size > 25 THEN 'map' ELSE 'set' END, 'g'), '\\bpx\\b', 'promise', 'g'), '\\bhh\\b', CASE WHEN p_size > 25 THEN 'closeHandler' ELSE 'errorHandler' END, 'g'), ';', ';' || chr(10)), chr(13), '')) AS digest
+    FROM (SELECT p_partkey, p_brand, p_size, {_PROGRAM} AS t FROM part)""")
+def q_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Programs laid out, with their new names."""
+    done = recover.recover(_programs(spark, sf_dir)).renamed
+    return done.select("key", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@_query("SELECT page_id AS key, md5(replace(s, ';', ';' || chr(10))) AS digest FROM (SELECT page_id, " + _SCRIPT + " AS s FROM pages)")
+def q_beautify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = beautify(_scripts(spark, sf_dir), "text")
+    return done.select("key", F.md5(F.col("pretty").cast("binary")).alias("digest"))
+
+
+_WORDS_BY_PLACE = """(VALUES (1, 'filePath', 9), (2, 'encoding', 7), (3, 'callback', 7)) v(place, type, score)"""
+
+
+@_query(f"""SELECT l_suppkey, type, score FROM (SELECT DISTINCT l_suppkey, type, score FROM lineitem JOIN {_WORDS_BY_PLACE} ON place = l_linenumber) QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY score DESC, type) = 1""")
+def q_call_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types by place, the best of each."""
+    table = F.broadcast(_rows(spark, [(1, "filePath", 9), (2, "encoding", 7), (3, "callback", 7)], "place int, type string, score int"))
+    hits = _t(spark, sf_dir, "lineitem").join(table, F.col("place") == F.col("l_linenumber")).select("l_suppkey", "type", "score")
+    return evidence.argmax(hits, ["l_suppkey"], "score", "type").select("l_suppkey", "type", "score")
+
+
+@_query(r"""WITH d AS (SELECT doc_id, text, regexp_extract(text, '[A-Za-z_$][A-Za-z0-9_$]*') AS name FROM documents), s AS (SELECT doc_id, name, text, instr(text, name) AS spot FROM d WHERE name <> ''),
+    p AS (SELECT doc_id, name, string_split(substr(text, 1, spot - 1), chr(10))[-1] AS head, array_to_string(string_split(substr(text, spot), chr(10))[1:8], chr(10)) AS tail FROM s)
+    SELECT doc_id, name, md5(substr(trim(head || tail, ' '), 1, 600)) AS digest FROM p""")
+def q_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines from each document's first identifier on, as a namer is shown them."""
+    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
+    rest = docs.select("key", F.regexp_extract("text", ids.IDENTIFIER, 0).alias("name")).where("name <> ''")
+    return namer.contexts(rest, docs).select(F.col("key").alias("doc_id"), "name", F.md5(F.col("context").cast("binary")).alias("digest"))
+
+
+@_query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def q_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An extension: counts by hour, as the stream computes them."""
+    return ingest.windowed_counts(_t(spark, sf_dir, "events"), "ts", "event_type")
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

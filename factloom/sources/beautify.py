@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,8 +62,7 @@ def layout(source: str, indent: int = 2) -> str:
     """Statements on lines of their own; braces of blocks and literals indent what is in them."""
     out: list[str] = []
     level, parens, fresh = 0, [0], True
-    todo = list(pieces(source))
-    texts = [p for p in todo]
+    texts = list(pieces(source))
 
     def line() -> None:
         nonlocal fresh
@@ -105,8 +105,6 @@ def layout(source: str, indent: int = 2) -> str:
 
 def beautify(df: DataFrame, text: str, indent: int = 2, out: str = "pretty") -> DataFrame:
     """Texts laid out; null stays null.  One text at a time is in a worker's hands."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else layout(t, indent))
