@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import rules
-from factloom.functions.identifiers import importance, is_minified
+from factloom.functions.identifiers import core_name, importance, is_minified
 from factloom.operators import evidence, graph
 from factloom.plans.scratch import cut
 
@@ -140,11 +140,35 @@ def bindings(facts: DataFrame, preset: str = "rename") -> DataFrame:
     return bound.where(is_minified(F.col("name"), preset))
 
 
+def late_names(facts: DataFrame, bound: DataFrame, named: DataFrame, rounds: int = 3) -> DataFrame:
+    """``named`` (keys, ordinal, candidate, score, origin, stage) and what the names without evidence fall back on.
+
+    A round takes for each name its first phase that can be used: its own
+    late candidates (property values only where all of a name's agree), or
+    ones derived from names that earlier rounds gave.  All names of a round
+    change at once, so a chain of ``rounds`` derivations is followed.
+    """
+    late = of_kind(facts, "late").select(*KEYS, F.col("detail").alias("candidate"), F.col("score").alias("phase"), F.col("ordinal").alias("at"))
+    agreed = late.where("phase = 10").groupBy(*KEYS).agg(F.min("candidate").alias("candidate"), F.count_distinct("candidate").alias("n"), F.min("at").alias("at"))
+    own = late.where("phase <> 10").unionByName(agreed.where("n = 1").select(*KEYS, "candidate", F.lit(10).alias("phase"), "at"))
+    derive = of_kind(facts, "derive").select(*KEYS, F.split_part("detail", F.lit(" "), F.lit(1)).alias("source"), F.split_part("detail", F.lit(" "), F.lit(2)).alias("ending"), F.col("score").alias("phase"), F.col("ordinal").alias("at"))
+    own, derive = (cut(x.join(bound.select(*KEYS), KEYS, "left_semi").join(named.select(*KEYS), KEYS, "left_anti"), "late") for x in (own, derive))
+    for k in range(1, rounds + 1):
+        known = named.select("key", F.col("name").alias("source"), F.col("candidate").alias("told"))
+        reached = derive.join(known, ["key", "source"]).select(*KEYS, F.when(F.col("ending") == "", F.col("told")).otherwise(F.concat(core_name(F.col("told")), "ending")).alias("candidate"), "phase", "at")
+        first = own.unionByName(reached).join(named.select(*KEYS), KEYS, "left_anti").groupBy(*KEYS).agg(F.min(F.struct("phase", "at", "candidate"))["candidate"].alias("candidate"))
+        fresh = cut(bound.join(first, KEYS).select(*KEYS, "ordinal", "candidate", F.lit(3.0).alias("score"), F.lit("late").alias("origin"), F.lit(k).alias("stage")), "late")
+        if fresh.isEmpty():
+            break
+        named = named.unionByName(fresh)
+    return named
+
+
 def rename_map(facts: DataFrame, seeds: DataFrame | None = None, least: float = 3, extra: PropertyRules = (), hints: bool = True, shape_rules: DataFrame | None = None) -> DataFrame:
     """key, mangled, semantic, confidence, origin: a new name for each minified binding that evidence speaks for.
 
-    Evidence first; names without any take that of the named variable that
-    they are set to (``alias``), then the seed (``mangled, semantic``).  New
+    Evidence first; names without any take what they are set to or called
+    with (``late``, :func:`late_names`), then the seed (``mangled, semantic``).  New
     names are unique within a source; a name without a row is uncertain.
     """
     facts = cut(facts, "facts")
@@ -153,16 +177,11 @@ def rename_map(facts: DataFrame, seeds: DataFrame | None = None, least: float =
     table = math_hints(facts) if hints else math_hints(facts).limit(0)
     best = evidence.with_hints(merged.select(*KEYS, "candidate", "score"), table, KEYS, least).where(F.col("candidate") != F.col("name"))
     named = cut(bound.join(best, KEYS).select(*KEYS, "ordinal", "candidate", "score", F.lit("static").alias("origin"), F.lit(0).alias("stage")), "named")
-    rest = bound.join(named, KEYS, "left_anti")
-    sources = named.select("key", F.col("name").alias("detail"), "candidate", "score")
-    first = of_kind(facts, "alias").select(*KEYS, "detail", F.col("ordinal").alias("at")).join(rest, KEYS).join(sources, ["key", "detail"])
-    copies = first.groupBy(*KEYS, "ordinal").agg(F.min(F.struct("at", "candidate", "score")).alias("b"))
-    copies = copies.select(*KEYS, "ordinal", "b.candidate", "b.score", F.lit("alias").alias("origin"), F.lit(1).alias("stage"))
-    found = named.unionByName(copies)
+    found = late_names(facts, bound, named)
     if seeds is not None:
         given = seeds.select(F.col("mangled").alias("name"), F.col("semantic").alias("candidate")).dropDuplicates(["name"])
-        seeded = rest.join(copies.select(*KEYS), KEYS, "left_anti").join(given, "name")
-        found = found.unionByName(seeded.select(*KEYS, "ordinal", "candidate", F.lit(0.0).alias("score"), F.lit("seed").alias("origin"), F.lit(2).alias("stage")))
+        seeded = bound.join(found.select(*KEYS), KEYS, "left_anti").join(given, "name")
+        found = found.unionByName(seeded.select(*KEYS, "ordinal", "candidate", F.lit(0.0).alias("score"), F.lit("seed").alias("origin"), F.lit(99).alias("stage")))
     unique = evidence.unique_names(found, "candidate", ["stage", "ordinal", "name"], ["key"], "semantic")
     return unique.select("key", F.col("name").alias("mangled"), "semantic", F.col("score").alias("confidence"), "origin")
 
@@ -174,8 +193,8 @@ def uncertain(facts: DataFrame, renames: DataFrame) -> DataFrame:
 
 
 def stats(facts: DataFrame, renames: DataFrame) -> DataFrame:
-    """Per source: bindings, static, alias, seed, total, uncertain, coverage in per cent."""
-    by_origin = [F.count_if(F.col("origin") == o).alias(o) for o in ("static", "alias", "seed")]
+    """Per source: bindings, static, late, seed, total, uncertain, coverage in per cent."""
+    by_origin = [F.count_if(F.col("origin") == o).alias(o) for o in ("static", "late", "seed")]
     done = bindings(facts).join(renames.select("key", F.col("mangled").alias("name"), "origin"), KEYS, "left").groupBy("key")
     sums = done.agg(F.count("*").alias("bindings"), *by_origin, F.count("origin").alias("total"))
     return sums.withColumn("uncertain", F.col("bindings") - F.col("total")).withColumn("coverage", evidence.coverage(F.col("total"), F.col("bindings")))

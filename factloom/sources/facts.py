@@ -5,7 +5,8 @@ Rows: key, ordinal, kind, name, detail, score, line.  Kinds:
 ``symbol`` (detail: its kind) · ``binding`` · ``init`` (detail: candidate) · ``vote`` (detail: type) ·
 ``event`` (detail: event) · ``member`` and ``destruct`` (detail: property) · ``arg`` (detail: function,
 score: place) · ``returns`` (detail: type, score: weight) · ``link`` (detail: alias) · ``typed`` (detail: type) ·
-``alias`` (detail: the name it is set to) · ``edge`` (detail: the other name) · ``use`` · ``error`` (detail: why the text is no program).
+``late`` (detail: a candidate for names without evidence, score: phase) · ``derive`` (detail: a source's name and
+what is put behind its new name, score: phase) · ``edge`` (detail: the other name) · ``use`` · ``error`` (detail: why the text is no program).
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import rules
-from factloom.sources.initializers import hint, is_text, member_of, name_of
+from factloom.sources.initializers import builder_name, camel, constant_of, enum_member, hint, is_text, lower_first, member_of, name_of, upper_first
 from factloom.sources.javascript import SourceError, lines_before, parse, walk
 
 Fact = tuple[str, str, str, int, int]
@@ -192,7 +193,6 @@ class _Facts:
         kind, score = value["type"], 5 if declared else 4
         if kind == "Identifier":
             self.add("link", name, value["name"], score)
-            self.add("alias", name, value["name"])
         elif kind == "MemberExpression":
             prop = member_of(value)[1]
             if prop in self.props:
@@ -206,10 +206,52 @@ class _Facts:
                     self.add("link", name, value[s]["name"], 4 if declared else 3)
         elif kind == "CallExpression" and name_of(value["callee"]):
             self.add("calls", name, value["callee"]["name"], 5)
+        self.later(name, value, declared)
         known = _of_type(value)
         if known and kind in ("UnaryExpression", "BinaryExpression", "TemplateLiteral"):
             self.add("typed", name, known, 7 if kind == "TemplateLiteral" or value.get("operator") == "typeof" else 6 if declared else 5)
 
+    def later(self, name: str, value: dict, declared: bool) -> None:
+        """What names without evidence fall back on, by phase: aliases, wrappers, properties, calls, enums, builders, constants."""
+        kind = value["type"]
+        if kind == "Identifier":
+            self.add("derive", name, f"{value['name']} ", 5)
+        elif kind == "MemberExpression":
+            obj, prop = member_of(value)
+            if prop == "default" and obj:
+                self.add("derive", name, f"{obj} Default", 17)
+            elif declared and prop and len(prop) >= 7 and prop not in rules.PLAIN_PROPERTIES:
+                self.add("late", name, lower_first(prop) + "Val", 10)
+        elif kind == "AssignmentExpression" and declared:
+            constant = constant_of(value)
+            if constant:
+                self.add("late", name, camel(constant.split("_")), 14)
+        elif kind in ("CallExpression", "NewExpression"):
+            told = builder_name(value) if declared else None
+            if told:
+                self.add("late", name, told + "Cmd", 13)
+            if kind == "CallExpression":
+                self.later_call(name, value, declared)
+
+    def later_call(self, name: str, value: dict, declared: bool) -> None:
+        callee, first = value["callee"], (value["arguments"] or [None])[0]
+        called, (obj, prop) = name_of(callee), member_of(callee)
+        if called:
+            inner = name_of(first["callee"]) if first and first["type"] == "CallExpression" else None
+            if inner and len(called) <= 4:
+                self.add("derive", name, f"{inner} Interop", 6 if declared else 9)
+            if not declared:
+                self.add("derive", name, f"{called} Result", 11)
+        elif callee["type"] == "FunctionExpression" and declared and len(callee["params"]) == 1:
+            member = enum_member(callee)
+            if member:
+                self.add("late", name, lower_first(member)[:24] + "Enum", 12)
+        elif prop:
+            if len(prop) >= (8 if declared else 10):
+                self.add("late", name, lower_first(prop) + ("" if declared else "Result"), 16 if declared else 11)
+            elif obj and len(prop) >= 4:
+                self.add("derive", name, f"{obj} {upper_first(prop)}", 16 if declared else 11)
+
     def returns(self, name: str, function: dict) -> None:
         """Weighted types of what a function returns; functions inside have their own."""
         if function["body"]["type"] != "BlockStatement":

@@ -62,6 +62,8 @@ NAMED = {
     "var hh;q1('close',hh)": {"hh": "closeHandler"},
     "function gg(){return 'x'} var kk=gg();": {"kk": "str"},
     "var zq;w(zq)": {"zq": "seeded"},
+    "var ab=new Map();var q1=Oe(ab(),1);var q2=q1;q3=ab(1);var q3": {"ab": "map", "q1": "mapInterop", "q2": "mapInterop_2", "q3": "mapResult"},
+    "var q1=(function(t){return t[t.Auto=0]='Auto',t[t.Fix=1]='Fix',t})({});var q2=zz=Oo.ELEMENT_NODE=1;var q3=new Cc().name('run all').opt()": {"q1": "autoEnum", "q2": "elementNode", "q3": "runAllCmd"},
     "(": {},
     None: {},
 }
@@ -82,7 +84,8 @@ def test_names_of_many_sources_at_once(spark):
     maps = {r["key"]: json.loads(r["json"]) for r in files.rename_json(renames).collect()}
     assert maps[0] == {"total": 2, "map": {"ab": "CMD_INIT", "cd": "CMD_HELP"}}
     text = {r["key"]: r["text"] for r in rename_texts(df.select(F.col("k").alias("key"), F.col("t").alias("text")), renames).collect()}
-    assert text[0] == 'var CMD_INIT="/init"; var CMD_HELP="/help";' and text[14] == "(" and text[15] is None
+    last = len(rows) - 1
+    assert text[0] == 'var CMD_INIT="/init"; var CMD_HELP="/help";' and text[last - 1] == "(" and text[last] is None
 
 
 def test_symbols_edges_and_graph_names(spark):
