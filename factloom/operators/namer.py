@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.identifiers import context_lines, valid_answer
 from factloom.operators import evidence
+from factloom.operators.text import placed_tokens
 from factloom.plans.scratch import cut
 
 Namer = Callable[[str], str]
@@ -34,15 +35,9 @@ def occurrences(rest: DataFrame, sources: DataFrame, around: int = 400, k: int =
 
     A place scores 2 after ``=``, ``,`` or ``(`` and 1 before ``.`` or ``(``; ties go to the earlier.
     """
-    word = r"[A-Za-z_$][A-Za-z0-9_$]*"
-    names = F.regexp_extract_all("text", F.lit(word), F.lit(0))
-    gaps = F.split("text", word, -1)
-    rows = sources.select("key", "text", F.posexplode(names).alias("at", "name"), gaps.alias("gaps"), names.alias("names")).join(rest.select("key", "name"), ["key", "name"], "left_semi")
-    before = F.rtrim(F.get("gaps", F.col("at")))
-    after = F.ltrim(F.get("gaps", F.col("at") + 1))
-    score = F.when(before.rlike(r"[=,(]$"), 2).otherwise(0) + F.when(after.rlike(r"^[.(]"), 1).otherwise(0)
-    start = F.aggregate(F.sequence(F.lit(0), F.col("at")), F.lit(0), lambda a, i: a + F.length(F.get("gaps", i)) + F.when(i < F.col("at"), F.length(F.get("names", i))).otherwise(0))
-    placed = rows.select("key", "name", "at", score.alias("score"), start.alias("start"), "text")
+    placed = placed_tokens(sources.select("key", "text"), "key", "text").join(rest.select("key", "name"), ["key", "name"], "left_semi")
+    score = F.when(F.rtrim("before").rlike(r"[=,(]$"), 2).otherwise(0) + F.when(F.ltrim("after").rlike(r"^[.(]"), 1).otherwise(0)
+    placed = placed.select("key", "name", F.col("ordinal").alias("at"), score.alias("score"), F.col("pos").cast("int").alias("start")).join(sources.select("key", "text"), "key")
     left = F.greatest(F.col("start") - around + 1, F.lit(1))
     snippet = F.substring(F.trim(F.regexp_replace(F.substring(F.col("text"), left, F.col("start") + 1 + around + F.length("name") - left), r"\s+", " ")), 1, 400)
     distinct = placed.select("key", "name", "score", "at", snippet.alias("snippet")).groupBy("key", "name", "snippet").agg(F.max(F.struct("score", -F.col("at"))).alias("b"))
@@ -50,6 +45,31 @@ def occurrences(rest: DataFrame, sources: DataFrame, around: int = 400, k: int =
     return distinct.groupBy("key", "name").agg(F.array_join(F.transform(F.slice(top, 1, k), lambda x: x["snippet"]), " | ").alias("snippets"))
 
 
+def neighbour_votes(toks: DataFrame, rest: DataFrame, named: DataFrame, near: int = 100, least: int = 2) -> DataFrame:
+    """key, name, neighbour, n: the named identifier that is most often within ``near`` characters of an uncertain one.
+
+    ``toks``: key, name, pos; ``rest``: name; ``named``: name.  Places are
+    joined by bands of ``near`` characters, so that no text's pairs are all
+    formed; ties go to the smaller name.
+    """
+    band = F.floor(F.col("pos") / near)
+    asked = toks.join(rest.select("name").distinct(), "name", "left_semi").select("key", "name", "pos", F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    others = toks.join(named.select("name").distinct(), "name", "left_semi").select("key", F.col("name").alias("neighbour"), F.col("pos").alias("at"), band.alias("band"))
+    pairs = asked.join(others, ["key", "band"]).where((F.abs(F.col("pos") - F.col("at")) <= near) & (F.col("name") != F.col("neighbour")))
+    counts = pairs.groupBy("key", "name", "neighbour").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return evidence.argmax(counts, ["key", "name"], "n", "neighbour")
+
+
+def neighbour_names(votes: DataFrame, named: DataFrame) -> DataFrame:
+    """key, name, semantic: the first word of the neighbour's new name with ``Ctx``, numbered up to 29 takers.
+
+    ``named``: name, semantic.
+    """
+    first = F.regexp_extract("semantic", r"^_*([A-Z]?[a-z0-9]+|[A-Z]+)", 1)
+    words = votes.join(named.select(F.col("name").alias("neighbour"), "semantic"), "neighbour").select("key", "name", "n", F.concat(first, F.lit("Ctx")).alias("base"))
+    return evidence.number_suffixes(words.withColumn("down", -F.col("n")), "base", ["down", "key", "name"], 29, "semantic").select("key", "name", "semantic")
+
+
 def prompts(batch: DataFrame, eager: bool = False) -> DataFrame:
     """batch, names, prompt: one row for each batch of (batch, name, context)."""
     item = F.struct("name", F.concat(F.lit("- "), "name", F.lit(": "), F.col("context")).alias("line"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.identifiers import IDENTIFIER, detect_format
@@ -18,6 +18,18 @@ def tokens(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.posexplode(identifiers(F.col(text))).alias("ordinal", "name"))
 
 
+def placed_tokens(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, ordinal, name, pos, before, after): identifiers with their place and the gaps around them.
+
+    Places are running sums over one text's tokens, so a task holds a text at a time.
+    """
+    gaps = F.split(F.col(text), IDENTIFIER, -1)
+    both = F.arrays_zip(identifiers(F.col(text)).alias("name"), gaps.alias("before"), F.slice(gaps, 2, F.greatest(F.size(gaps) - 1, F.lit(0))).alias("after"))
+    rows = df.select(key, F.posexplode(both).alias("ordinal", "t")).where("t.name is not null")
+    end = F.sum(F.length("t.before") + F.length("t.name")).over(Window.partitionBy(key).orderBy("ordinal"))
+    return rows.select(key, "ordinal", "t.name", (end - F.length("t.name")).alias("pos"), "t.before", "t.after")
+
+
 def frequencies(toks: DataFrame, name: str = "name") -> DataFrame:
     return toks.groupBy(name).agg(F.count("*").alias("n"))
 

@@ -551,6 +551,20 @@ def q_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return namer.contexts(rest, docs).select(F.col("key").alias("doc_id"), "name", F.md5(F.col("context").cast("binary")).alias("digest"))
 
 
+_PLACED = f"""SELECT key, name, (sum(length(g) + length(name)) OVER (PARTITION BY key ORDER BY i) - length(name))::BIGINT AS pos FROM (SELECT conv_id * 1000 + turn AS key, unnest(range(0, len(w))) AS i, unnest(w) AS name, unnest(g[1:len(w)]) AS g
+    FROM (SELECT conv_id, turn, regexp_extract_all(text, '{ids.IDENTIFIER}') AS w, regexp_split_to_array(text, '{ids.IDENTIFIER}') AS g FROM conversations))"""
+
+
+@_query(f"""WITH t AS ({_PLACED}), p AS (SELECT x.key, x.name, y.name AS neighbour, count(*) AS n FROM t x JOIN t y ON x.key = y.key AND abs(x.pos - y.pos) <= 100 AND x.name <> y.name
+    WHERE length(x.name) <= 3 AND length(y.name) >= 6 GROUP BY ALL HAVING count(*) >= 2)
+    SELECT key, name, neighbour, n FROM p QUALIFY row_number() OVER (PARTITION BY key, name ORDER BY n DESC, neighbour) = 1""")
+def q_neighbour_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every short word of a turn the long one that is most often near."""
+    c = _t(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), "text")
+    toks = text.placed_tokens(c, "key", "text")
+    return namer.neighbour_votes(toks, toks.where(F.length("name") <= 3), toks.where(F.length("name") >= 6))
+
+
 @_query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def q_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An extension: counts by hour, as the stream computes them."""

@@ -119,6 +119,15 @@ def test_occurrences_prefer_telling_places(spark):
     assert [(r["key"], r["snippets"]) for r in got] == [(1, "= ab.c | ab; x")]
 
 
+def test_neighbours_give_numbered_names(spark):
+    toks = spark.createDataFrame([(1, "ab", 0), (1, "pq", 50), (1, "ab", 80), (1, "pq", 500), (1, "cd", 510), (1, "cd", 520)], "key int, name string, pos int")
+    rest = spark.createDataFrame([("ab",), ("cd",)], "name string")
+    named = spark.createDataFrame([("pq", "parserState")], "name string, semantic string")
+    votes = namer.neighbour_votes(toks, rest, named)
+    assert {(r["name"], r["neighbour"], r["n"]) for r in votes.collect()} == {("ab", "pq", 2), ("cd", "pq", 2)}
+    assert {r["name"]: r["semantic"] for r in namer.neighbour_names(votes, named).collect()} == {"ab": "parserCtx", "cd": "parserCtx2"}
+
+
 def test_whole_run_from_files_and_a_stream(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
