@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.operators.evidence import batches
 from factloom.plans.scratch import cut
 
 #: Suffixes of propagated names, in turn.
@@ -105,9 +106,8 @@ def propagated_names(active: DataFrame, edges: DataFrame, named: DataFrame) -> D
     near = both_ways(edges).join(named.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "name", "ordinal")
     first = near.join(named.select("node"), "node", "left_anti").join(active, "node", "left_semi")
     first = first.groupBy("node").agg(F.min(F.struct("ordinal", "name"))["name"].alias("name"))
-    w = Window.partitionBy(F.lit(0)).orderBy("node")
-    turn = F.element_at(F.array(*map(F.lit, SUFFIXES)), ((F.row_number().over(w) - 1) % len(SUFFIXES) + 1).cast("int"))
-    return first.select("node", F.concat("name", turn).alias("name"))
+    turn = F.element_at(F.array(*map(F.lit, SUFFIXES)), (F.col("place") % len(SUFFIXES) + 1).cast("int"))
+    return batches(first, ["node"], 1, "place").select("node", F.concat("name", turn).alias("name"))
 
 
 def propagate_types(links: DataFrame, base: DataFrame, rounds: int = 20) -> DataFrame:

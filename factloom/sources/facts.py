@@ -28,7 +28,8 @@ _BITWISE = {"&", "|", "^", "<<", ">>", ">>>"}
 _ORDER = {"<", ">", "<=", ">="}
 _EQUAL = {"==", "!=", "===", "!=="}
 _FUNCTIONS = ("FunctionDeclaration", "FunctionExpression", "ArrowFunctionExpression")
-#: Rows of texts in one batch handed to a worker.
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of texts in one batch handed to a worker; the default of 10,000 long texts would not fit.
 BATCH_ROWS = 256
 
 
@@ -383,10 +384,12 @@ def facts_of(source: str) -> list[Fact]:
 
 
 def facts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """The facts of all texts; null is an empty text.  Texts are read one at a time, so that memory is bounded by the longest."""
+    """The facts of all texts; null is an empty text.  Texts are parsed one at a time, in batches of ``BATCH_ROWS`` or fewer."""
     import pyarrow as pa
 
-    kind = dict(df.dtypes)[key]
+    kind, conf = dict(df.dtypes)[key], df.sparkSession.conf
+    if not 0 < int(conf.get(ARROW_ROWS, "10000")) <= BATCH_ROWS:
+        conf.set(ARROW_ROWS, str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

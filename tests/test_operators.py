@@ -84,3 +84,11 @@ def test_greedy_clusters_take_free_neighbours(spark):
     matrix = spark.createDataFrame([(x, y, 5) for a, b in pairs for x, y in ((a, b), (b, a))], "a string, b string, n int")
     got = {r["name"]: r["cluster"] for r in graph.greedy_clusters(matrix).collect()}
     assert got == {"a": "a", "b": "a", "c": "c", "d": "c"}
+
+
+def test_propagated_names_take_suffixes_in_turn(spark):
+    edges = spark.createDataFrame([("a", x, 3) for x in "bcdefgh"], "src string, dst string, weight int")
+    active = spark.createDataFrame([(x,) for x in "bcdefg"], "node string")
+    named = spark.createDataFrame([("a", "parser", 1)], "node string, name string, ordinal int")
+    got = {r["node"]: r["name"] for r in graph.propagated_names(active, edges, named).collect()}
+    assert got == {x: "parser" + graph.SUFFIXES[k % 5] for k, x in enumerate("bcdefg")}
