@@ -60,20 +60,27 @@ def _number(raw: str) -> float | int:
 class _Parser:
     def __init__(self, source: str):
         self.source, self.end, self.last = source, 0, 0
+        self.seen = (-1, 0, None)
         if source.startswith("#!"):
             self.end = source.find("\n") if "\n" in source else len(source)
         self.step()
 
+    def scan(self) -> tuple[int, re.Match | None]:
+        """Place and match of the token behind ``end``; what was seen last is kept, as most tokens are peeked at."""
+        if self.seen[0] != self.end:
+            at = _SPACE.match(self.source, self.end).end()
+            self.seen = (self.end, at, _TOKEN.match(self.source, at))
+        return self.seen[1:]
+
     def step(self) -> None:
         """Read the next token."""
         self.last = self.end
-        at = _SPACE.match(self.source, self.end).end()
-        self.newline = "\n" in self.source[self.end : at] or "\r" in self.source[self.end : at]
+        at, m = self.scan()
+        self.newline = at > self.end and ("\n" in self.source[self.end : at] or "\r" in self.source[self.end : at])
         self.start = at
         if at >= len(self.source):
             self.kind, self.value, self.end = "eof", "", at
             return
-        m = _TOKEN.match(self.source, at)
         if m is None:
             raise SourceError(f"unexpected character at {at}")
         self.kind, self.value, self.end = m.lastgroup, m[0], m.end()
@@ -100,8 +107,7 @@ class _Parser:
 
     def peek(self) -> tuple[str, str, bool]:
         """Kind and text of the token after this one, and whether a line ends before it."""
-        at = _SPACE.match(self.source, self.end).end()
-        m = _TOKEN.match(self.source, at)
+        at, m = self.scan()
         gap = self.source[self.end : at]
         return (m.lastgroup, m[0], "\n" in gap) if m else ("eof", "", "\n" in gap)
 
@@ -723,6 +729,8 @@ def walk(root: Node):
         kind = node["type"]
         children = []
         for field, value in node.items():
+            if value.__class__ is not dict and value.__class__ is not list:
+                continue
             if field in ("property", "key") and not node.get("computed") or field in ("label", "imported", "exported"):
                 continue
             if field == "left" and kind in ("BinaryExpression", "LogicalExpression"):
