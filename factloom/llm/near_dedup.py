@@ -14,9 +14,11 @@ several classes are searched on.  Small ones give their pairs across classes
 for verification.  The members of larger ones, with ``wide`` more coordinates
 of a byte each, meet in blocks inside a task, which passes on only pairs that
 these coordinates put within five standard deviations of the threshold, and of
-sure ones only as many as join classes.  That goes on until no bucket gives a
-pair that was not verified, so no link between classes is lost and no bucket
-is expanded into rows of all its pairs.
+sure ones only as many as join classes; a sure pair that verification refused
+joins none in later rounds, so what it held back comes out then.  That goes on
+until no bucket gives a pair that was not verified and none holds one back, so
+no link between classes is lost and no bucket is expanded into rows of all its
+pairs.
 
 Defined cases: a null text counts as empty; texts without a word are of one
 class only with byte-equal texts; equal rows are one document; rows with null
@@ -187,8 +189,11 @@ def _wide_sketcher(p: NearDedup):
     return run
 
 
-def _block_pairs(rows: list[dict], p: NearDedup) -> Iterator[tuple[bytes, bytes]]:
-    """Pairs across classes of one block, or of two, that may reach the similarity."""
+def _block_pairs(rows: list[dict], p: NearDedup) -> Iterator[tuple[bytes, bytes, bool]]:
+    """Pairs across classes of one block, or of two, that may reach the similarity, and whether each is sure.
+
+    A row's ``refused`` are the smaller digests of its sure pairs that failed.
+    """
     margin = 5 * math.sqrt(p.similarity * (1 - p.similarity) / p.wide)
     sure = min(p.similarity + margin / 2, 1.0)
     wide = np.frombuffer(b"".join(r["wide"] for r in rows), np.uint8).reshape(len(rows), p.wide)
@@ -208,6 +213,7 @@ def _block_pairs(rows: list[dict], p: NearDedup) -> Iterator[tuple[bytes, bytes]
         found.append((near[i, j], i + lo, j + lo))
     near, i, j = (np.concatenate(x) for x in zip(*found, strict=True))
     parent = list(range(len(labels)))
+    refused = {(a, r["digest"]) for r in rows for a in r["refused"] or ()}
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -217,10 +223,11 @@ def _block_pairs(rows: list[dict], p: NearDedup) -> Iterator[tuple[bytes, bytes]
 
     for k in np.argsort(-near, kind="stable").tolist():
         a, b = root(label[i[k]]), root(label[j[k]])
-        if a != b:
+        pair = tuple(sorted((rows[i[k]]["digest"], rows[j[k]]["digest"])))
+        if a != b and pair not in refused:
             if near[k] >= sure:
                 parent[a] = b
-            yield tuple(sorted((rows[i[k]]["digest"], rows[j[k]]["digest"])))
+            yield *pair, bool(near[k] >= sure)
 
 
 def _blocker(p: NearDedup):
@@ -231,7 +238,7 @@ def _blocker(p: NearDedup):
 
         def done() -> pa.RecordBatch:
             pairs = list(dict.fromkeys(_block_pairs(held, p)))
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.binary()), pa.array([y for _, y in pairs], pa.binary())], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([x[c] for x in pairs], t) for c, t in enumerate((pa.binary(), pa.binary(), pa.bool_()))], ["a", "b", "sure"])
 
         for batch in batches:
             for r in batch.to_pylist():
@@ -298,15 +305,20 @@ def near_classes(docs: DataFrame, params: NearDedup | None = None, id_col: str =
         x, y = (whole.select(F.col("digest").alias(c), F.col("text").alias(f"{c}_text")) for c in "ab")
         return cut(pairs.join(x, "a").join(y, "b").select("a", "a_text", "b", "b_text").mapInArrow(_verifier(p), "a binary, b binary, near boolean").where("near").select("a", "b"), "edges")
 
-    def across(state: DataFrame, wide: DataFrame) -> DataFrame:
+    def across(state: DataFrame, wide: DataFrame, refused: DataFrame | None) -> DataFrame:
         """Pairs of the larger buckets, found block by block."""
+        if refused is None:
+            wide = wide.withColumn("refused", F.lit(None).cast("array<binary>"))
+        else:
+            failed = refused.groupBy(F.col("b").alias("digest")).agg(F.collect_set("a").alias("refused"))
+            wide = wide.join(maybe_broadcast(failed, refused.count(), 48, p.broadcast_bytes), "digest", "left")
         blocks = F.ceil(F.col("n") / p.block).cast("int")
         units = state.select("band", "h", "digest", "label", F.pmod(F.xxhash64("digest"), blocks).cast("int").alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
         units = units.select("band", "h", "digest", "label", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
         unit = ["band", "h", "lo", "hi"]
-        return units.join(wide, "digest").repartition(*unit).sortWithinPartitions(*unit).mapInArrow(_blocker(p), "a binary, b binary")
+        return units.join(wide, "digest").repartition(*unit).sortWithinPartitions(*unit).mapInArrow(_blocker(p), "a binary, b binary, sure boolean")
 
-    fresh, wide = tried, None
+    fresh, wide, refused = tried, None, None
     while not fresh.isEmpty():
         found = verify(fresh)
         edges = found if edges is None else cut(edges.unionByName(found), "edges")
@@ -322,7 +334,14 @@ def near_classes(docs: DataFrame, params: NearDedup | None = None, id_col: str =
             if wide is None:  # later steps need some of these texts
                 wide = fetch(large.select("digest")).mapInArrow(_wide_sketcher(p), "digest binary, wide binary")
                 wide = cut(wide.join(texts.select("digest", "bands"), "digest"), "wide")
-            pairs = pairs.unionByName(across(large, wide))
+            while True:
+                met = cut(across(large, wide, refused), "met")
+                # a tried pair that is still across classes was refused: it must not hold others back
+                failed = cut(met.where("sure").select("a", "b").distinct().join(tried, ["a", "b"], "left_semi"), "refused")
+                if failed.isEmpty():
+                    break
+                refused = failed if refused is None else cut(refused.unionByName(failed), "refused")
+            pairs = pairs.unionByName(met.select("a", "b"))
         fresh = cut(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = cut(tried.unionByName(fresh), "pairs")
     if edges is None:

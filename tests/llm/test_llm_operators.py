@@ -87,6 +87,44 @@ def test_near_classes_of_a_large_bucket(spark):
     assert got == classes(rows)
 
 
+@pytest.mark.parametrize("leader", [None, 2])
+def test_refused_sure_pairs_hold_no_link_back(spark, monkeypatch, leader):
+    """The estimate puts a non-link (0 and 2) above the only link (0 and 1) between two classes; with a leader it is tried before."""
+    base = prose(40, 200).split()
+    texts = [[*base[:182], *(f"p{k}" for k in range(18))], base, [*(f"q{k}" for k in range(18)), *base[18:]]]
+    if leader is None:
+        texts.append(prose(41, 50).split())
+    least = len(texts) - 1 if leader is None else leader
+    texts = next(t for k in range(1000) if min(range(len(t := [[*x, f"n{k}"] for x in texts])), key=lambda i: hashlib.sha256(" ".join(t[i]).encode()).digest()) == least)
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    assert classes(rows) == Counter((k, 0, 3) if k < 3 else (k, k, 1) for k in range(len(rows)))
+    places = ([], [1, 2, 3, 4], [1], range(100))  # of 100 coordinates: 0 and 2 agree in 99, 1 and 2 in 97, 0 and 1 in 96
+    estimates = {t: bytes(k + 1 if c in places[k] else 0 for c in range(100)) for k, t in rows}
+
+    def sketcher(p):
+        def run(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), pa.array([[7]] * b.num_rows, pa.list_(pa.int64()))], ["doc_id", "digest", "bands"])
+
+        return run
+
+    def wide_sketcher(p):
+        def run(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array([estimates[t] for t in b.column("text").to_pylist()], pa.binary())], ["digest", "wide"])
+
+        return run
+
+    monkeypatch.setattr(near_dedup, "_sketcher", sketcher)
+    monkeypatch.setattr(near_dedup, "_wide_sketcher", wide_sketcher)
+    found = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string"), near_dedup.NearDedup(small_bucket=2, wide=100))
+    assert Counter((r["doc_id"], r["class_id"], r["class_docs"]) for r in found.collect()) == classes(rows)
+
+
 def test_keep_one(docs, none):
     kept = near_dedup.keep_one(docs)
     assert kept.columns == docs.columns
