@@ -3,7 +3,9 @@
 A text is split into sentences twice: at line ends and sentence ends, and with
 single line ends taken as spaces (wrapped headers).  Each sentence is
 normalised (lower case, runs of other characters than ASCII letters and digits
-to one space) and looked up among the known sentences.  The identifiers, in
+to one space) and looked up among the known sentences.  Both readings are
+merged in the order of the text: a wrapped sentence replaces those of its lines
+that say less of it.  The identifiers, in
 the order of the text, are then read against the rules in their order: a rule
 is a run of identifiers, its matches are counted and taken out, and later,
 shorter rules see what is left.
@@ -69,7 +71,6 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("CC-BY-4.0", ("ccby4_named",)),
 )
 
-LINES = r"\n|[.!?;:][)\"']*(?=\s|$)"
 WRAPPED = r"\n\s*\n|[.!?;:][)\"']*(?=\s|$)"
 
 
@@ -99,11 +100,25 @@ def anchors(known: dict[str, str]) -> list[str]:
     return sorted({max(s.split(), key=lambda w: (len(w), w)) for s in known})
 
 
-def identifiers(text: Column, pattern: str, known: dict[str, str]) -> Column:
-    """The identifiers of the known sentences of a text, in its order."""
-    clean = F.transform(F.split(F.lower(text), pattern, -1), lambda s: F.trim(F.regexp_replace(s, r"[^a-z0-9]+", " ")))
-    found = F.filter(clean, lambda s: s.isin(*known))
+def identifiers(text: Column, known: dict[str, str]) -> Column:
+    """The identifiers of the known sentences of a text, in its order, by lines and wrapped.
+
+    Every line is a part of one wrapped sentence, so that sentence by sentence
+    the readings are merged.  Where its lines together say all of a known
+    wrapped sentence, the reading that finds more in the whole text names it.
+    """
+    clean = lambda s: F.trim(F.regexp_replace(s, r"[^a-z0-9]+", " "))
+    is_known = lambda s: s.isin(*known)
+    both = F.transform(F.split(F.lower(text), WRAPPED, -1), lambda s: F.struct(F.filter(F.array(clean(s)), is_known).alias("wrapped"), F.filter(F.transform(F.split(s, r"\n", -1), clean), is_known).alias("lines")))
     table = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
+
+    def merged(all_: Column) -> Column:
+        wrapped_more = F.size(F.flatten(F.transform(all_, lambda s: s["wrapped"]))) > F.size(F.flatten(F.transform(all_, lambda s: s["lines"])))
+        use_lines = lambda s: (F.size(s["wrapped"]) == 0) | (~wrapped_more & (F.array_join(s["lines"], " ") == F.get(s["wrapped"], F.lit(0))))
+        return F.flatten(F.transform(all_, lambda s: F.when(use_lines(s), s["lines"]).otherwise(s["wrapped"])))
+
+    # the sentences found are bound to a variable, so that the text is split once
+    found = F.flatten(F.transform(F.array(F.filter(both, lambda s: (F.size(s["wrapped"]) > 0) | (F.size(s["lines"]) > 0))), merged))
     return F.transform(found, lambda s: F.element_at(table, s))
 
 
@@ -130,8 +145,8 @@ def matches(ids: Column, p: LicenseScan) -> Column:
 def scan(docs: DataFrame, params: LicenseScan | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, sentences (identifiers in order), matches (license and count) for every row.
 
-    ``sentences`` are those found by lines, or, where more, those found in
-    wrapped text; the matches are of the same reading.
+    ``sentences`` are those found by lines and in wrapped text, merged; the
+    matches are of all of them.
     """
     p = params or LicenseScan()
     known = known_sentences(p)
@@ -141,8 +156,5 @@ def scan(docs: DataFrame, params: LicenseScan | None = None, id_col: str = "doc_
     for word in anchors(known):
         some = some | F.contains(low, F.lit(word))
     none = F.array().cast("array<string>")
-    by_line = F.when(some, identifiers(F.col("text"), LINES, known)).otherwise(none)
-    by_wrap = F.when(some, identifiers(F.col("text"), WRAPPED, known)).otherwise(none)
-    read = src.select("doc_id", by_line.alias("a"), by_wrap.alias("b"))
-    best = read.select("doc_id", F.when(F.size("b") > F.size("a"), F.col("b")).otherwise(F.col("a")).alias("sentences"))
+    best = src.select("doc_id", F.when(some, identifiers(F.col("text"), known)).otherwise(none).alias("sentences"))
     return best.select("doc_id", "sentences", F.when(F.size("sentences") > 0, matches(F.col("sentences"), p)).otherwise(F.array().cast("array<struct<license:string,n:bigint>>")).alias("matches"))

@@ -364,6 +364,24 @@ def test_licenses(spark, none):
     assert license_scan.scan(none).count() == 0
 
 
+def test_licenses_of_both_readings(spark):
+    """What only lines show and what only wrapped text shows are both found, in order and once."""
+    heading, wrapped = "My data set\nLicensed under CC BY-NC 4.0.\n\n", "This work is licensed under the GNU General\nPublic License, version 3."
+    mit = "\n".join(license_scan.SENTENCES["mit_granted"].split(", ")).replace("\n", ",\n") + "\n\n" + license_scan.SENTENCES["mit_notice"].replace(" shall", "\nshall")
+    you_may = license_scan.SENTENCES["apache_you_may"].replace(' (the', '\n(the')
+    url = "You may obtain a copy of the License at\nhttp://www.apache.org/licenses/LICENSE-2.0\n\n"
+    rows = [(1, heading + wrapped), (2, heading + mit), (3, heading + you_may), (4, wrapped + "\n\n" + heading + wrapped), (5, url), (6, you_may + "\n\n" + url)]
+    got = {r["doc_id"]: (r["sentences"], [(m["license"], m["n"]) for m in r["matches"]]) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {
+        1: (["ccbync4_named", "gpl3_named"], [("GPL-3.0-only", 1), ("CC-BY-NC-4.0", 1)]),
+        2: (["ccbync4_named", "mit_granted", "mit_notice"], [("MIT", 1), ("CC-BY-NC-4.0", 1)]),
+        3: (["ccbync4_named", "apache_you_may.0", "apache_you_may"], [("Apache-2.0", 1), ("CC-BY-NC-4.0", 1)]),
+        4: (["gpl3_named", "ccbync4_named", "gpl3_named"], [("GPL-3.0-only", 2), ("CC-BY-NC-4.0", 1)]),
+        5: (["apache_copy", "apache_url"], []),
+        6: (["apache_you_may.0", "apache_you_may", "apache_copy", "apache_url"], [("Apache-2.0", 1)]),
+    }
+
+
 def test_pipeline_stages_keep_columns(spark, docs, tmp_path):
     import corpus_pipeline
 
