@@ -6,15 +6,15 @@ benchmark's and of the documents' tokens are joined; every hit names a
 diagonal (document position less item position).  Around the hits the overlap
 on the diagonal is verified: one point for each equal token, one off for each
 substituted one, and the best stretch must reach ``points`` (or ``share`` of a
-short item).
+short item).  Items shorter than the shortest mask are found only whole, by one
+hash of all their tokens.
 
 Every mask starts with two adjacent tokens, so documents first pass a bitmap
 of the benchmark's token pairs, 2**20 bits whatever the benchmark's size; it
 drops only starts that cannot hit.
 
-Defined cases: null texts and items are empty; documents without a token, and
-items shorter than the shortest mask, leak nothing by that mask; equal rows
-are found together; null ids are kept.  Extra columns are ignored.
+Defined cases: null texts and items are empty; documents and items
+without a token leak nothing; equal rows are found together; null ids are kept.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -70,7 +70,9 @@ def _seeds(words: Column, starts: Column, masks: tuple[str, ...]) -> Column:
 
 def benchmark_seeds(items: DataFrame, p: Decontaminate) -> DataFrame:
     """seed, item, item_at; ``items``: item, words."""
-    found = items.select("item", F.explode(_seeds(F.col("words"), _starts(F.col("words"), min(map(len, p.masks))), p.masks)).alias("s"))
+    words, least = F.col("words"), min(map(len, p.masks))
+    whole = F.array(F.struct(F.lit(0).alias("at"), F.coalesce(*(F.when(F.size(words) == n, _seed(words, F.lit(0), "1" * n)) for n in range(1, least))).alias("seed")))
+    found = items.where(F.size(words) > 0).select("item", F.explode(F.when(F.size(words) < least, whole).otherwise(_seeds(words, _starts(words, least), p.masks))).alias("s"))
     return found.select(F.col("s.seed").alias("seed"), "item", F.col("s.at").alias("item_at")).distinct()
 
 
@@ -91,8 +93,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, params: Decontaminate | None =
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     items = cut(benchmark.select(F.col(item_col).alias("item"), tokens(text_or_empty(item_text_col)).alias("words")), "items")
     seeds = cut(benchmark_seeds(items, p), "seeds")
-    bitmap = pair_bitmap(items)
+    bitmap, least = pair_bitmap(items), min(map(len, p.masks))
     words = F.col("words")
+    lengths = sorted(r["n"] for r in items.where(F.size(words).between(1, least - 1)).select(F.size(words).alias("n")).distinct().collect())
 
     def passes(i: Column) -> Column:
         def is_set(bit: Column) -> Column:
@@ -101,8 +104,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, params: Decontaminate | None =
         return F.exists(F.array(F.pmod(_pair(words, i), F.lit(1 << BITS))), is_set)
 
     split = src.select("doc_id", "key", tokens(F.col("text")).alias("words"))
-    starts = F.filter(_starts(words, min(map(len, p.masks))), passes)
+    starts = F.filter(_starts(words, least), passes)
     found = split.select("doc_id", "key", F.explode(_seeds(words, starts, p.masks)).alias("s"))
+    if lengths:
+        at = F.concat(*(_seeds(words, _starts(words, n), ("1" * n,)) for n in lengths))
+        found = found.unionByName(split.select("doc_id", "key", F.explode(at).alias("s")))
     small = maybe_broadcast(seeds, seeds.count(), 48, p.broadcast_bytes)
     hits = found.select("doc_id", "key", "s.at", "s.seed").join(small, "seed")
     diagonals = cut(hits.select("doc_id", "key", "item", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct(), "diagonals")

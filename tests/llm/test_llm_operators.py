@@ -307,6 +307,15 @@ def test_leaks(spark, docs, none):
     assert decontaminate.leaks(docs, bench.where("item_id > 9")).count() == 0
 
 
+def test_leaks_of_short_items(spark):
+    """Items of 1 to 5 tokens are found whole, and only whole."""
+    bench = spark.createDataFrame([(n, " ".join(prose(50, 9).split()[:n])) for n in range(7)], "item_id long, text string")
+    words = prose(50, 9).split()
+    rows = [(1, "x1 " + " ".join(words[:5]).upper() + "! x2"), (2, " ".join(words[:2])), (3, " ".join([words[0], "x3", *words[2:5]])), (4, "x4 x5"), (5, None)]
+    got = {(r["doc_id"], r["item_id"], r["points"], r["tokens"]) for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(1, n, n, n) for n in range(1, 6)} | {(2, 1, 1, 1), (2, 2, 2, 2), (3, 1, 1, 1)}
+
+
 def test_media_store(docs, none):
     def payload(t):
         b = (t or "").encode()
