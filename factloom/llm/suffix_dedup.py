@@ -13,16 +13,23 @@ transform.  So the collection is first brought into short strings:
    one string that occurs several times; all its windows repeat.
 3. Where an anchor has several strings and one of them occurs once, the
    strings, aligned at the anchor, are a collection: one symbol of each is
-   inserted every round, from the last column to the first, which keeps their
-   suffixes in order (stable by symbol, as the transform's next segment) and
-   the common prefixes of neighbours (one more than the least between the two
-   in the last round's order).  A window repeats if its suffix has ``length``
-   bytes in common with a neighbour.
+   inserted every round, from the last column to the first.  The symbols in
+   the order of the suffixes are the transform's segment of that round; its
+   stable order by symbol is the next order (the transform's own mapping), and
+   the common prefix of two neighbours is one more than the least between the
+   two in the last round.  A window repeats if its suffix has ``length`` bytes
+   in common with a neighbour.
+4. Collections over ``hot`` strings are split until none is left, so that a
+   task never holds more.  The starts of windows, counted from the anchor, lie
+   in a range; all windows of a range hold the same bytes in the middle.  Half
+   the range has a longer middle, and strings that differ there part.  Strings
+   that are equal wherever the range reaches, if more than ``hot``, repeat in
+   the whole range; one of them stays for the others.
 
 The arrays of a collection stay in memory, some thousand strings a step; the
 external files of the sequential method are Spark's own tables and shuffles.
-Collections over ``hot`` strings are not gathered in a task: their windows'
-digests are counted by Spark instead.
+No join meets all rows of a frequent key in one task: keys with many rows, of
+which there can only be few, are broadcast.
 
 Defined cases: a null text is empty; equal rows are different places, so a row
 of 400 bytes or more with an equal row is removed as a whole; null ids stay
@@ -31,14 +38,13 @@ null; extra columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import cut, maybe_broadcast, small_batches, text_or_empty
@@ -52,8 +58,11 @@ _LOW = U((1 << 24) - 1)
 class SuffixDedup:
     length: int = 400
     gram: int = 200
-    #: Larger collections are counted by Spark.
+    #: Larger collections are split.
     hot: int = 20_000
+    #: Keys with more rows are broadcast, not shuffled to: one in ``heavy_share`` of all rows, this number at most.
+    heavy_rows: int = 1_000_000
+    heavy_share: int = 2000
     #: Strings that a step sorts at once, unless one collection has more.
     step: int = 8_000
     chunk: int = 2 << 20
@@ -111,20 +120,21 @@ def repeats(matrix: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
     """For each string (row of symbols, ``PAD`` outside) the columns at which a string of ``length`` symbols starts that another of its group has there.
 
     ``group`` is ascending.  Symbols are inserted column by column, the last
-    first; ``order`` holds the strings by group and by suffix, ``common`` the
-    common prefix of each suffix with the one before.
+    first; ``order`` holds the strings by group and by suffix, ``transform``
+    the symbols before these suffixes, ``common`` the common prefix of each
+    suffix with the one before.
     """
     n, width = matrix.shape
     found = np.zeros((n, width - length + 1), bool)
     order = np.arange(n)
     common = np.zeros(n, np.int32)
     for column in range(width - 1, -1, -1):
-        symbol = matrix[order, column].astype(np.int64)
-        key = group[order] * (PAD + 1) + symbol
+        transform = matrix[order, column].astype(np.int64)
+        key = group[order] * (PAD + 1) + transform
         move = np.argsort(key, kind="stable")
         key = key[move]
         same = np.zeros(n, bool)
-        same[1:] = (key[1:] == key[:-1]) & (symbol[move][1:] != PAD)
+        same[1:] = (key[1:] == key[:-1]) & (transform[move][1:] != PAD)
         new = np.zeros(n, np.int32)
         at = np.flatnonzero(same)
         if len(at):
@@ -162,7 +172,7 @@ def _blocker(p: SuffixDedup):
 
 
 def _fetcher(p: SuffixDedup):
-    """The strings' bytes, from (text, k1, k2, wanted: places, h, t1, t2, n)."""
+    """The strings' bytes, from (text, k1, k2, wanted: places, h, t1, t2, n, kinds)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,10 +181,10 @@ def _fetcher(p: SuffixDedup):
                 raw = text.encode()
                 for w in wanted:
                     start, size = w["place"] >> 20, w["place"] >> 10 & 1023
-                    rows.append((k1, k2, w["place"], w["h"], w["t1"], w["t2"], w["n"], raw[start : start + size]))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 8
-            kinds = [pa.int64()] * 7 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["k1", "k2", "place", "h", "t1", "t2", "n", "bytes"])
+                    rows.append((k1, k2, w["place"], w["h"], w["t1"], w["t2"], w["n"], w["kinds"], raw[start : start + size]))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 9
+            kinds = [pa.int64()] * 8 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["k1", "k2", "place", "h", "t1", "t2", "n", "kinds", "bytes"])
 
     return run
 
@@ -186,7 +196,8 @@ def _columns(p: SuffixDedup, rows: list[dict]) -> Iterator[dict]:
     for k, r in enumerate(rows):
         col = before - (r["place"] & 1023)
         matrix[k, col : col + len(r["bytes"])] = np.frombuffer(r["bytes"], np.uint8)
-    group = np.unique(np.array([r["h"] for r in rows]), return_inverse=True)[1]
+    numbers = {}
+    group = np.array([numbers.setdefault((r["h"], r["core"]), len(numbers)) for r in rows])
     found = repeats(matrix, group, p.length)
     for k in np.flatnonzero(found.any(1)).tolist():
         r = rows[k]
@@ -208,7 +219,7 @@ def _sorter(p: SuffixDedup):
         held: list[dict] = []
         for batch in batches:
             for r in batch.to_pylist():
-                if len(held) >= p.step and held[-1]["h"] != r["h"]:
+                if len(held) >= p.step and (held[-1]["h"], held[-1]["core"]) != (r["h"], r["core"]):
                     yield pa.RecordBatch.from_pylist(list(_columns(p, held)), _RANGE)
                     held = []
                 held.append(r)
@@ -218,53 +229,118 @@ def _sorter(p: SuffixDedup):
     return run
 
 
-def _windows(p: SuffixDedup):
-    """Digests of all windows of strings of hot collections, with their place."""
+_PART = "k1 long, k2 long, place long, n long, bytes binary, low int, high int, h long, core long"
+
+
+def _reach(p: SuffixDedup, place: int, size: int, low: int, high: int) -> tuple[int, int]:
+    """The starts, counted from the anchor, of a string's windows in a range (none if the first is above the second)."""
+    off = place & 1023
+    return max(low, -off), min(high, size - off - p.length)
+
+
+def _trimmer(p: SuffixDedup):
+    """Adds the digest of all bytes that windows of the row's range cover."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = []
+            for place, raw, low, high in zip(*(batch.column(c).to_pylist() for c in ("place", "bytes", "low", "high")), strict=True):
+                a, b = _reach(p, place, len(raw), low, high)
+                off = place & 1023
+                names.append(xxhash.xxh3_128_digest(raw[off + a : off + b + p.length]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.binary())], [*batch.schema.names, "trim"])
+
+    return run
+
+
+def _halver(p: SuffixDedup):
+    """Each string once for each half of its range in which it has windows, with the hash of the bytes that all of them hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                cols: list[list] = [[], [], [], [], [], []]
-                for r in batch.slice(lo, 256).to_pylist():
-                    start, raw = r["place"] >> 20, r["bytes"]
-                    for j in range(len(raw) - p.length + 1):
-                        d = hashlib.blake2b(raw[j : j + p.length], digest_size=16).digest()
-                        for c, v in zip(cols, (r["k1"], r["k2"], start + j, r["n"], int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)), strict=True):
-                            c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["k1", "k2", "start", "n", "w1", "w2"])
+            for lo in range(0, batch.num_rows, 4096):
+                out = []
+                for r in batch.slice(lo, 4096).to_pylist():
+                    middle, off = (r["low"] + r["high"]) // 2, r["place"] & 1023
+                    for low, high in ((r["low"], middle), (middle + 1, r["high"])) if r["low"] < r["high"] else ():
+                        a, b = _reach(p, r["place"], len(r["bytes"]), low, high)
+                        if a <= b:
+                            core = xxhash.xxh3_64_intdigest(r["bytes"][off + high : off + low + p.length], seed=(high + p.length) * 1024 + low + p.length) >> 1
+                            out.append(r | {"low": low, "high": high, "core": core})
+                yield pa.RecordBatch.from_pylist(out, batch.schema)
 
     return run
 
 
+def split_collections(rows: DataFrame, p: SuffixDedup) -> tuple[DataFrame, list[DataFrame]]:
+    """Strings in collections (h, core) of at most ``hot``, and spans found on the way.
+
+    ``rows``: the strings of larger ones, as ``_PART`` names their columns.
+    What is broadcast are collections and equal strings of more than ``hot`` rows each.
+    """
+    key, ready, spans = ["h", "core", "low", "high"], [], []
+    while True:
+        large = F.broadcast(rows.groupBy(*key).agg(F.count("*").alias("c")).where(F.col("c") > p.hot).select(*key))
+        ready.append(rows.join(large, key, "left_anti"))
+        rows = cut(rows.join(large, key, "left_semi").select(*rows.columns).mapInArrow(_trimmer(p), f"{_PART}, trim binary"), "large")
+        if rows.isEmpty():
+            break
+        equal = F.broadcast(cut(rows.groupBy(*key, "trim").agg(F.count("*").alias("c")).where(F.col("c") > p.hot).select(*key, "trim"), "equal"))
+        same = rows.join(equal, [*key, "trim"], "left_semi")
+        off, start = F.col("place").bitwiseAND(F.lit(1023)), F.shiftright("place", 20)
+        first, last = F.greatest("low", -off), F.least(F.col("high"), F.length("bytes") - off - p.length)
+        spans.append(same.where("n = 1").select("k1", "k2", (start + off + first).alias("start"), (start + off + last + p.length).alias("end")))
+        one = same.groupBy(*key, "trim").agg(F.min(F.struct("k1", "k2", "place", "bytes")).alias("r")).select("r.*", F.lit(2).cast("long").alias("n"), *key)
+        rest = rows.join(equal, [*key, "trim"], "left_anti").unionByName(one, allowMissingColumns=True)
+        rows = cut(rest.select("k1", "k2", "place", "n", "bytes", "low", "high", "h", "core").mapInArrow(_halver(p), _PART), "halves")
+    found = ready[0]
+    for more in ready[1:]:
+        found = found.unionByName(more)
+    return found, spans
+
+
+def join_by_weight(rows: DataFrame, keys: DataFrame, on: list[str], weight: str, total: int, p: SuffixDedup) -> DataFrame:
+    """``rows`` joined with ``keys``, whose ``weight`` is their number of rows.
+
+    Heavy keys are broadcast: there are ``heavy_share`` of them at most, or one for each ``heavy_rows`` rows.
+    """
+    heavy = F.col(weight) > max(1, min(p.heavy_rows, total // p.heavy_share))
+    few = F.broadcast(keys.where(heavy))
+    light = rows.join(few.select(*on), on, "left_anti").join(keys.where(~heavy), on)
+    return light.unionByName(rows.join(few, on))
+
+
 def repeated_spans(docs: DataFrame, p: SuffixDedup) -> DataFrame:
     """(k1, k2, spans): for each text (by its digest in two numbers) the maximal spans that go; ``docs``: text, k1, k2."""
     found = cut(docs.select("text", "k1", "k2").mapInArrow(_blocker(p), "k1 long, k2 long, place long, h long, t1 long, t2 long"), "blocks")
-    twice = found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    some = cut(found.join(twice, "h"), "candidates")
+    twice = cut(found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "anchors")
+    total = found.count()
+    some = cut(join_by_weight(found, twice, ["h"], "c", total, p).drop("c"), "candidates")
     strings = some.groupBy("h", "t1", "t2").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place")).alias("rep"))
     strings = cut(strings, "strings")
-    groups = strings.groupBy("h").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("h", "kinds")
-    wanted = strings.join(groups, "h").select("h", "kinds", "t1", "t2", "n", "rep.*")
-    wanted = cut(wanted, "wanted")
-    spans = some.join(strings.where("n > 1").select("h", "t1", "t2"), ["h", "t1", "t2"])
+    groups = cut(strings.groupBy("h").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("h", "kinds"), "groups")
+    wanted = cut(join_by_weight(strings, groups, ["h"], "kinds", total, p).select("h", "kinds", "t1", "t2", "n", "rep.*"), "wanted")
+    spans = join_by_weight(some, strings.where("n > 1").select("h", "t1", "t2", "n"), ["h", "t1", "t2"], "n", total, p)
     start, size = F.shiftright("place", 20), F.shiftright("place", 10).bitwiseAND(F.lit(1023))
     spans = spans.select("k1", "k2", start.alias("start"), (start + size).alias("end"))
     count = wanted.count()
     if count:
-        by_text = wanted.groupBy(F.col("k1").alias("q1"), F.col("k2").alias("q2")).agg(F.collect_list(F.struct("place", "h", "t1", "t2", "n")).alias("wanted"))
+        by_text = wanted.groupBy(F.col("k1").alias("q1"), F.col("k2").alias("q2")).agg(F.collect_list(F.struct("place", "h", "t1", "t2", "n", "kinds")).alias("wanted"))
         keyed = docs.select("text", "k1", "k2")
-        joined = keyed.join(maybe_broadcast(by_text, count, 64, p.broadcast_bytes), (F.col("k1") == F.col("q1")) & (F.col("k2") == F.col("q2")))
-        strings_ = joined.select("k1", "k2", "text", "wanted").mapInArrow(_fetcher(p), "k1 long, k2 long, place long, h long, t1 long, t2 long, n long, bytes binary")
+        joined = keyed.join(maybe_broadcast(by_text, count, 112, p.broadcast_bytes), (F.col("k1") == F.col("q1")) & (F.col("k2") == F.col("q2")))
+        strings_ = joined.select("k1", "k2", "text", "wanted").mapInArrow(_fetcher(p), "k1 long, k2 long, place long, h long, t1 long, t2 long, n long, kinds long, bytes binary")
         # copies of a text give the same strings; one of each is enough, and a string that occurs once comes once
-        strings_ = cut(strings_.join(groups, "h"), "contexts")
-        usual = strings_.where(F.col("kinds") <= p.hot).drop("kinds").dropDuplicates(["h", "t1", "t2"])
-        partial = usual.repartition("h").sortWithinPartitions("h").mapInArrow(_sorter(p), "k1 long, k2 long, start long, end long")
-        spans = spans.unionByName(partial)
-        hot = strings_.where(F.col("kinds") > p.hot).drop("kinds").dropDuplicates(["h", "t1", "t2"])
-        if not groups.where(F.col("kinds") > p.hot).isEmpty():
-            windows = cut(hot.mapInArrow(_windows(p), "k1 long, k2 long, start long, n long, w1 long, w2 long"), "windows")
-            many = windows.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2")
-            spans = spans.unionByName(windows.where("n = 1").join(many, ["w1", "w2"]).select("k1", "k2", "start", (F.col("start") + p.length).alias("end")))
+        strings_ = cut(strings_.dropDuplicates(["h", "t1", "t2"]).withColumns({"low": F.lit(p.gram - p.length), "high": F.lit(0), "core": F.lit(0).cast("long")}), "contexts")
+        columns = ["k1", "k2", "place", "n", "bytes", "low", "high", "h", "core"]
+        collections = strings_.where(F.col("kinds") <= p.hot).select(*columns)
+        hot = strings_.where(F.col("kinds") > p.hot).select(*columns)
+        if not hot.isEmpty():
+            parts, ranges = split_collections(hot, p)
+            collections = collections.unionByName(parts)
+            for more in ranges:
+                spans = spans.unionByName(more)
+        order = ["h", "core"]
+        spans = spans.unionByName(collections.repartition(*order).sortWithinPartitions(*order).mapInArrow(_sorter(p), "k1 long, k2 long, start long, end long"))
     listed = spans.distinct().groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
     return listed.mapInArrow(_merger, "k1 long, k2 long, spans array<struct<start:long,end:long>>")
 

@@ -279,6 +279,19 @@ def test_suffix_dedup(docs, none, hot):
         assert suffix_dedup.dedup(none).count() == 0
 
 
+def test_suffix_dedup_splits_large_collections(spark):
+    """Passages a little above and below the length, in many contexts, some of which are shared by few."""
+    r, rows = random.Random(9), []
+    passage, short = prose(60, 400)[:450], prose(61, 400)[:399]
+    sides = [prose(62 + k, 100)[:150] for k in range(5)]
+    for k in range(60):
+        left, right = (r.choice(sides) + str(k % 7) if k % 3 else prose(100 + k, 60) for _ in "ab")
+        rows.append((k, left + (passage if k % 4 else short) + right))
+    df = spark.createDataFrame([*rows, (60, rows[1][1]), (None, passage)], "doc_id long, text string")
+    got = Counter((r["doc_id"], r["n_bytes"], bytes(r["kept"])) for r in suffix_dedup.dedup(df, suffix_dedup.SuffixDedup(hot=4, heavy_share=3)).collect())
+    assert got == repeated([*rows, (60, rows[1][1]), (None, passage)], 400)
+
+
 def test_columns_find_repeats():
     r = np.random.default_rng(3)
     matrix = r.integers(97, 99, (60, 30)).astype(np.uint16)
