@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -26,10 +27,13 @@ def small_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests), a temporary folder is set once.
+    Where a local session names none (tests), a temporary folder is set once;
+    on a cluster that would be a folder of one machine, so the setting must be there.
     """
     found = spark.conf.get(CHECKPOINT, None) or spark.sparkContext.getConf().get(CHECKPOINT, None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"set {CHECKPOINT} to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="factloom-")
         spark.conf.set(CHECKPOINT, found)
     return found.rstrip("/")
@@ -74,3 +78,19 @@ def digest(text: Column) -> Column:
 def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int, limit_bytes: int) -> DataFrame:
     """Broadcast ``df`` only if its counted rows fit ``limit_bytes``; else let the join shuffle."""
     return F.broadcast(df) if rows * row_bytes <= limit_bytes else df
+
+
+#: A key with more rows than this, or than one in ``HEAVY_SHARE`` of all, is heavy.
+HEAVY_ROWS, HEAVY_SHARE = 1_000_000, 2000
+
+
+def heavy_keys(counts: DataFrame, on: list[str], weight: str, total: int, rows: int = HEAVY_ROWS, share: int = HEAVY_SHARE) -> DataFrame:
+    """The keys whose ``weight``, their number of rows, is heavy: ``share`` of them at most, or one for each ``rows`` of all ``total`` rows."""
+    return counts.where(F.col(weight) > max(1, min(rows, total // share))).select(*on)
+
+
+def join_split(rows: DataFrame, keys: DataFrame, on: list[str], heavy: DataFrame) -> DataFrame:
+    """``rows`` joined with ``keys``, one row a key: heavy keys are broadcast, so that their rows stay where they are; the others are shuffled to."""
+    heavy = F.broadcast(heavy)
+    light = rows.join(heavy, on, "left_anti").join(keys, on)
+    return light.unionByName(rows.join(F.broadcast(keys.join(heavy, on, "left_semi")), on))

@@ -50,6 +50,20 @@ SENTENCES: dict[str, str] = {
     "ccby4_named": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "bsd_redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "bsd_source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "agpl_free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl_free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "mpl_copy": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "mpl_named": "Licensed under the Mozilla Public License 2.0.",
+    "isc_granted": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "isc_named": "Released under the ISC License.",
+    "unlicense_free": "This is free and unencumbered software released into the public domain.",
+    "cc0_named": "This work is dedicated to the public domain under CC0 1.0.",
+    "cc0_waived": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "ccbysa4_named": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "ccbysa4_short": "Licensed under CC BY-SA 4.0.",
+    "ccby4_short": "Licensed under CC BY 4.0.",
+    "bsd3_named": "Licensed under the BSD 3-Clause License.",
+    "bsd_endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "bsd_binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
 }
 
@@ -59,6 +73,7 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("Apache-2.0", ("apache_you_may", "apache_copy_url", "apache_as_is", "apache_see")),
     ("MIT", ("mit_granted", "mit_notice")),
     ("GPL-3.0-or-later", ("gpl_free", "gpl_hope", "gpl_details")),
+    ("BSD-3-Clause", ("bsd_redistribution", "bsd_source", "bsd_binary", "bsd_endorse")),
     ("BSD-2-Clause", ("bsd_redistribution", "bsd_source", "bsd_binary")),
     ("Apache-2.0", ("apache_you_may",)),
     ("Apache-2.0", ("apache_named",)),
@@ -69,6 +84,19 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("GPL-3.0-only", ("gpl3_named",)),
     ("CC-BY-NC-4.0", ("ccbync4_named",)),
     ("CC-BY-4.0", ("ccby4_named",)),
+    ("CC-BY-4.0", ("ccby4_short",)),
+    ("CC-BY-SA-4.0", ("ccbysa4_named",)),
+    ("CC-BY-SA-4.0", ("ccbysa4_short",)),
+    ("CC0-1.0", ("cc0_named",)),
+    ("CC0-1.0", ("cc0_waived",)),
+    ("AGPL-3.0-or-later", ("agpl_free",)),
+    ("LGPL-2.1-or-later", ("lgpl_free",)),
+    ("MPL-2.0", ("mpl_copy",)),
+    ("MPL-2.0", ("mpl_named",)),
+    ("ISC", ("isc_granted",)),
+    ("ISC", ("isc_named",)),
+    ("Unlicense", ("unlicense_free",)),
+    ("BSD-3-Clause", ("bsd3_named",)),
 )
 
 WRAPPED = r"\n\s*\n|[.!?;:][)\"']*(?=\s|$)"
@@ -95,6 +123,12 @@ def known_sentences(p: LicenseScan) -> dict[str, str]:
     return out
 
 
+def run_of(sentence: str, p: LicenseScan) -> list[str]:
+    """The identifiers that a known sentence gives, in order; sentences may share parts."""
+    known = known_sentences(p)
+    return [known[x] for part in re.split(WRAPPED, dict(p.sentences)[sentence]) if (x := normalised(part))]
+
+
 def anchors(known: dict[str, str]) -> list[str]:
     """Words of which any known sentence holds one: each one's longest."""
     return sorted({max(s.split(), key=lambda w: (len(w), w)) for s in known})
@@ -124,13 +158,7 @@ def identifiers(text: Column, known: dict[str, str]) -> Column:
 
 def matches(ids: Column, p: LicenseScan) -> Column:
     """array<struct<license, n>> of the rules that the identifier sequence fulfils."""
-    whole = dict(p.sentences)
-
-    def run(name: str) -> list[str]:
-        parts = len([x for x in re.split(WRAPPED, whole[name]) if normalised(x)])
-        return [f"{name}.{k}" for k in range(parts - 1)] + [name]
-
-    rules = F.array(*(F.struct(F.lit(license_).alias("license"), F.lit("".join(f"<{i}>" for name in names for i in run(name))).alias("run")) for license_, names in p.rules))
+    rules = F.array(*(F.struct(F.lit(license_).alias("license"), F.lit("".join(f"<{i}>" for name in names for i in run_of(name, p))).alias("run")) for license_, names in p.rules))
     line = F.array_join(F.transform(ids, lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "")
     none = F.array().cast("array<struct<license:string,n:bigint>>")
 

@@ -12,7 +12,8 @@ ranges, checks every chunk's digest and the file's, and takes the samples out.
 Pack files carry the attempt's own name; only those that the committed chunk
 table names count, so a lost executor leaves orphans and no wrong bytes.
 What is broadcast are the chunks that their document doesn't own, if their
-counted rows fit a bound; beyond it the join shuffles.
+counted rows fit a bound; beyond it the join shuffles.  Chunks that very many
+rows use are few, and are broadcast to these rows instead of shuffling them.
 
 Defined cases: a null text is empty, and an empty payload is 64 zeros; equal
 rows share all chunks and are read back one by one; null ids stay null;
@@ -37,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import cut, digest, maybe_broadcast, scratch, small_batches, text_or_empty
+from factloom.llm.common import cut, digest, heavy_keys, join_split, scratch, small_batches, text_or_empty
 from factloom.llm.textbytes import column_bytes, seeded
 
 UNIT = 64
@@ -187,10 +188,11 @@ def store(docs: DataFrame, params: MediaStore | None = None, id_col: str = "doc_
     members = cut(src.select("doc_id", "text_id"), "members")
     texts = cut(lists.groupBy("text_id").agg(F.first("n_bytes").alias("n_bytes"), F.first("chunks").alias("chunks")), "texts")
     rows = texts.select("text_id", F.posexplode("chunks").alias("n", "chunk"))
-    shared = cut(rows.groupBy("chunk").agg(F.min(F.struct("text_id", "n")).alias("owner"), F.count("*").alias("uses")).where("uses > 1").select("chunk", "owner"), "shared")
+    shared = cut(rows.groupBy("chunk").agg(F.min(F.struct("text_id", "n")).alias("owner"), F.count("*").alias("uses")).where("uses > 1"), "shared")
+    often = cut(heavy_keys(shared, ["chunk"], "uses", rows.count()), "often")
     # where a chunk is another's, or a text another row's, it is not packed again
     mine = members.groupBy("text_id").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).where("rows > 1")
-    other = rows.join(shared, "chunk").where((F.col("owner.text_id") != F.col("text_id")) | (F.col("owner.n") != F.col("n")))
+    other = join_split(rows, shared.select("chunk", "owner"), ["chunk"], often).where((F.col("owner.text_id") != F.col("text_id")) | (F.col("owner.n") != F.col("n")))
     other = other.groupBy("text_id").agg(F.collect_list("n").alias("others"))
     known = cut(mine.join(other, "text_id", "full").select(F.col("text_id").alias("known_id"), "others", "first", F.col("rows").isNotNull().alias("copied")), "known")
     size = known.agg(F.count("*").alias("n"), F.sum(F.greatest(F.size("others"), F.lit(0))).alias("m")).first()
@@ -200,7 +202,7 @@ def store(docs: DataFrame, params: MediaStore | None = None, id_col: str = "doc_
     whole = whole.where(F.coalesce(~F.col("copied"), F.lit(True)) | F.col("doc_id").eqNullSafe(F.col("first")))
     packed = cut(whole.select("text", "others").mapInArrow(_packer(p, scratch(spark, "packs")), "chunk binary, pack string, offset long, size long"), "packed")
     places = packed.groupBy("chunk").agg(F.min(F.struct("pack", "offset", "size")).alias("place"))
-    found = rows.join(places, "chunk").groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct("n", "chunk", "place"))).alias("chunks"))
+    found = join_split(rows, cut(places, "places"), ["chunk"], often).groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct("n", "chunk", "place"))).alias("chunks"))
     table = cut(found.join(texts.select("text_id", "n_bytes"), "text_id"), "chunk-lists")
     return members.join(table, "text_id").select("doc_id", "text_id", "n_bytes", "chunks")
 

@@ -12,7 +12,9 @@ Bands of coordinates are joined, each bucket's members are held against one
 leader, and the exact weighted similarity decides.  Buckets that still hold
 several classes are searched on.  Small ones give their pairs across classes
 for verification.  The members of larger ones, with ``wide`` more coordinates
-of a byte each, meet in blocks inside a task, which passes on only pairs that
+of a byte each, meet in blocks inside a task: a class that fills a block has
+blocks of its own, which never meet one another, so a bucket that is nearly
+one class costs little more than its rows.  A task passes on only pairs that
 these coordinates put within five standard deviations of the threshold, and of
 sure ones only as many as join classes; a sure pair that verification refused
 joins none in later rounds, so what it held back comes out then.  That goes on
@@ -36,10 +38,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import cut, digest, maybe_broadcast, small_batches, text_or_empty
+from factloom.llm.common import cut, digest, heavy_keys, join_split, maybe_broadcast, small_batches, text_or_empty
 from factloom.llm.textbytes import U, column_bytes, chunks, mix, seeded, shingles, trim, words
 
 
@@ -55,6 +57,8 @@ class NearDedup:
     small_bucket: int = 16
     wide: int = 2048
     block: int = 1024
+    #: Pairs of one text that a task verifies, about; a text with more is copied.
+    fan: int = 2000
     broadcast_bytes: int = 32 << 20
 
 
@@ -288,8 +292,10 @@ def near_classes(docs: DataFrame, params: NearDedup | None = None, id_col: str =
     sketch = cut(src.mapInArrow(_sketcher(p), "doc_id long, digest binary, bands array<long>"), "sketch")
     texts = cut(sketch.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("docs"), F.first("bands").alias("bands")), "texts")
     members = texts.select("digest", F.posexplode("bands").alias("band", "h"))
-    buckets = members.groupBy("band", "h").agg(F.min("digest").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    buckets = cut(buckets.join(members, ["band", "h"]), "buckets")
+    bucket = ["band", "h"]
+    counted = cut(members.groupBy(*bucket).agg(F.min("digest").alias("leader"), F.count("*").alias("n")).where("n > 1"), "counted")
+    total = sketch.count()
+    buckets = cut(join_split(members, counted, bucket, heavy_keys(counted, bucket, "n", total)), "buckets")
     tried = cut(buckets.where("leader <> digest").select(F.col("leader").alias("a"), F.col("digest").alias("b")).distinct(), "pairs")
     edges = labels = None
 
@@ -302,8 +308,14 @@ def near_classes(docs: DataFrame, params: NearDedup | None = None, id_col: str =
 
     def verify(pairs: DataFrame) -> DataFrame:
         whole = cut(fetch(pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest")))), "whole")
-        x, y = (whole.select(F.col("digest").alias(c), F.col("text").alias(f"{c}_text")) for c in "ab")
-        return cut(pairs.join(x, "a").join(y, "b").select("a", "a_text", "b", "b_text").mapInArrow(_verifier(p), "a binary, b binary, near boolean").where("near").select("a", "b"), "edges")
+        for c in "ab":  # a text with many pairs is copied, so that none of its tasks has them all
+            many = pairs.groupBy(c).agg(F.ceil(F.count("*") / p.fan).alias("parts")).where("parts > 1")
+            many = F.broadcast(cut(many, "many"))  # of every ``fan`` pairs one row at most
+            part = F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1)))
+            side = whole.select(F.col("digest").alias(c), F.col("text").alias(f"{c}_text")).join(many, c, "left")
+            side = side.select(c, f"{c}_text", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+            pairs = pairs.join(many, c, "left").withColumn("part", part).drop("parts").join(side, [c, "part"]).drop("part")
+        return cut(pairs.select("a", "a_text", "b", "b_text").mapInArrow(_verifier(p), "a binary, b binary, near boolean").where("near").select("a", "b"), "edges")
 
     def across(state: DataFrame, wide: DataFrame, refused: DataFrame | None) -> DataFrame:
         """Pairs of the larger buckets, found block by block."""
@@ -312,9 +324,21 @@ def near_classes(docs: DataFrame, params: NearDedup | None = None, id_col: str =
         else:
             failed = refused.groupBy(F.col("b").alias("digest")).agg(F.collect_set("a").alias("refused"))
             wide = wide.join(maybe_broadcast(failed, refused.count(), 48, p.broadcast_bytes), "digest", "left")
-        blocks = F.ceil(F.col("n") / p.block).cast("int")
-        units = state.select("band", "h", "digest", "label", F.pmod(F.xxhash64("digest"), blocks).cast("int").alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-        units = units.select("band", "h", "digest", "label", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+        # a class of more than a block has blocks of its own behind those that the others share
+        sizes = cut(state.groupBy(*bucket, "label").agg(F.count("*").alias("z")), "sizes")
+        own = F.when(F.col("z") > p.block, F.ceil(F.col("z") / p.block)).otherwise(0)
+        pools = cut(sizes.groupBy(*bucket).agg(F.sum("z").alias("n"), F.ceil(F.sum(F.when(F.col("z") <= p.block, F.col("z")).otherwise(0)) / p.block).alias("shared"), F.sum(own).alias("own")), "pools")
+        before = Window.partitionBy(*bucket).orderBy("label").rowsBetween(Window.unboundedPreceding, -1)
+        majors = sizes.where(F.col("z") > p.block).withColumn("blocks", own).withColumn("first", F.coalesce(F.sum("blocks").over(before), F.lit(0))).drop("z")
+        majors = F.broadcast(cut(majors, "majors"))  # of every ``block`` rows one at most
+        rows = join_split(state.select(*bucket, "digest", "label"), pools, bucket, heavy_keys(pools, bucket, "n", total)).join(majors, [*bucket, "label"], "left")
+        spot, low = F.xxhash64("digest"), F.col("shared") + F.col("first")
+        alone = F.col("blocks").isNull()
+        rows = rows.withColumn("mine", F.when(alone, F.pmod(spot, F.greatest("shared", F.lit(1)))).otherwise(low + F.pmod(spot, F.coalesce("blocks", F.lit(1)))))
+        every = F.sequence(F.lit(0).cast("long"), F.col("shared") + F.col("own") - 1)
+        others = F.when(alone, every).otherwise(F.filter(every, lambda x: ~x.between(low, low + F.col("blocks") - 1)))
+        units = rows.select(*bucket, "digest", "label", "mine", F.explode(others).alias("other"))
+        units = units.select(*bucket, "digest", "label", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
         unit = ["band", "h", "lo", "hi"]
         return units.join(wide, "digest").repartition(*unit).sortWithinPartitions(*unit).mapInArrow(_blocker(p), "a binary, b binary, sure boolean")
 
@@ -325,8 +349,9 @@ def near_classes(docs: DataFrame, params: NearDedup | None = None, id_col: str =
         labels = components(edges)
         # texts of buckets that still hold several classes; the rest needs no more links
         state = buckets.where("n > 2").join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("band", "h", "n", "digest", F.coalesce("label", "digest").alias("label"))
-        several = state.groupBy("band", "h").agg(F.min("label").alias("one"), F.max("label").alias("another")).where("one <> another").select("band", "h")
-        state = cut(state.join(several, ["band", "h"]), "open")
+        several = state.groupBy("band", "h").agg(F.min("label").alias("one"), F.max("label").alias("another"), F.max("n").alias("n")).where("one <> another").select("band", "h", "n")
+        several = cut(several, "several")
+        state = cut(join_split(state.drop("n"), several, bucket, heavy_keys(several, bucket, "n", total)), "open")
         small, large = state.where(F.col("n") <= p.small_bucket), state.where(F.col("n") > p.small_bucket)
         other = small.select("band", "h", F.col("digest").alias("b"), F.col("label").alias("b_label"))
         pairs = small.withColumnRenamed("digest", "a").join(other, ["band", "h"]).where("a < b and label <> b_label").select("a", "b")
@@ -350,8 +375,8 @@ def near_classes(docs: DataFrame, params: NearDedup | None = None, id_col: str =
         classes = texts.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "first_id", "docs", F.coalesce("label", "digest").alias("class_digest"))
     classes = cut(classes, "classes")
     sums = classes.groupBy("class_digest").agg(F.min("first_id").alias("class_id"), F.sum("docs").alias("class_docs"))
-    named = classes.select("digest", "class_digest").join(sums, "class_digest")
-    return sketch.select("doc_id", "digest").join(named, "digest").select("doc_id", "digest", "class_id", "class_digest", "class_docs")
+    named = cut(classes.select("digest", "class_digest", "docs").join(sums, "class_digest"), "named")
+    return join_split(sketch.select("doc_id", "digest"), named, ["digest"], heavy_keys(named, ["digest"], "docs", total)).select("doc_id", "digest", "class_id", "class_digest", "class_docs")
 
 
 def keep_one(docs: DataFrame, params: NearDedup | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -51,12 +51,8 @@ def _licenses() -> str:
         f"r AS (SELECT doc_id, {lines} AS a, {wrapped} AS b FROM d)",
         "l0 AS (SELECT doc_id, sentences, coalesce(array_to_string(list_transform(sentences, lambda i: '<' || i || '>'), ''), '') AS l, 0::BIGINT AS n, []::VARCHAR[] AS found FROM (SELECT doc_id, CASE WHEN len(b) > len(a) THEN b ELSE a END AS sentences FROM r))",
     ]
-    whole = dict(p.sentences)
     for k, (name, parts) in enumerate(p.rules):
-        ids = []
-        for sentence in parts:
-            pieces = [x for x in license_scan.re.split(license_scan.WRAPPED, whole[sentence]) if license_scan.normalised(x)]
-            ids += [f"{sentence}.{j}" for j in range(len(pieces) - 1)] + [sentence]
+        ids = [i for sentence in parts for i in license_scan.run_of(sentence, p)]
         run = "".join(f"<{i}>" for i in ids)
         ctes.append(f"""l{k + 1} AS (SELECT doc_id, sentences, x AS l, n + c AS n, CASE WHEN c > 0 THEN list_append(found, '{name}') ELSE found END AS found
             FROM (SELECT *, replace(l, '{run}', '|') AS x, (length(l) - length(replace(l, '{run}', '|'))) // {len(run) - 1} AS c FROM l{k}))""")

@@ -47,8 +47,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import cut, maybe_broadcast, small_batches, text_or_empty
-from factloom.llm.textbytes import U, Rolling, chunks, column_bytes
+from factloom.llm.common import HEAVY_SHARE, cut, heavy_keys, join_split, maybe_broadcast, small_batches, text_or_empty
+from factloom.llm.textbytes import U, Rolling, chunks, column_bytes, trim
 
 PAD = 256
 _LOW = U((1 << 24) - 1)
@@ -60,12 +60,11 @@ class SuffixDedup:
     gram: int = 200
     #: Larger collections are split.
     hot: int = 20_000
-    #: Keys with more rows are broadcast, not shuffled to: one in ``heavy_share`` of all rows, this number at most.
-    heavy_rows: int = 1_000_000
-    heavy_share: int = 2000
+    #: Keys with more than one row in so many are broadcast, not shuffled to.
+    heavy_share: int = HEAVY_SHARE
     #: Strings that a step sorts at once, unless one collection has more.
     step: int = 8_000
-    chunk: int = 2 << 20
+    chunk: int = 1 << 20
     broadcast_bytes: int = 48 << 20
 
 
@@ -167,6 +166,7 @@ def _blocker(p: SuffixDedup):
                 row, start, size, off, h, t1, t2 = (np.asarray(x, np.int64) for x in part)
                 cols = (k1[row], k2[row], (start << 20) | (size << 10) | off, h, t1, t2)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], ["k1", "k2", "place", "h", "t1", "t2"])
+        trim()
 
     return run
 
@@ -299,28 +299,21 @@ def split_collections(rows: DataFrame, p: SuffixDedup) -> tuple[DataFrame, list[
     return found, spans
 
 
-def join_by_weight(rows: DataFrame, keys: DataFrame, on: list[str], weight: str, total: int, p: SuffixDedup) -> DataFrame:
-    """``rows`` joined with ``keys``, whose ``weight`` is their number of rows.
-
-    Heavy keys are broadcast: there are ``heavy_share`` of them at most, or one for each ``heavy_rows`` rows.
-    """
-    heavy = F.col(weight) > max(1, min(p.heavy_rows, total // p.heavy_share))
-    few = F.broadcast(keys.where(heavy))
-    light = rows.join(few.select(*on), on, "left_anti").join(keys.where(~heavy), on)
-    return light.unionByName(rows.join(few, on))
-
-
 def repeated_spans(docs: DataFrame, p: SuffixDedup) -> DataFrame:
     """(k1, k2, spans): for each text (by its digest in two numbers) the maximal spans that go; ``docs``: text, k1, k2."""
     found = cut(docs.select("text", "k1", "k2").mapInArrow(_blocker(p), "k1 long, k2 long, place long, h long, t1 long, t2 long"), "blocks")
     twice = cut(found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "anchors")
     total = found.count()
-    some = cut(join_by_weight(found, twice, ["h"], "c", total, p).drop("c"), "candidates")
+
+    def weighed(rows: DataFrame, keys: DataFrame, on: list[str], weight: str) -> DataFrame:
+        return join_split(rows, keys, on, heavy_keys(keys, on, weight, total, share=p.heavy_share))
+
+    some = cut(weighed(found, twice, ["h"], "c").drop("c"), "candidates")
     strings = some.groupBy("h", "t1", "t2").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place")).alias("rep"))
     strings = cut(strings, "strings")
     groups = cut(strings.groupBy("h").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("h", "kinds"), "groups")
-    wanted = cut(join_by_weight(strings, groups, ["h"], "kinds", total, p).select("h", "kinds", "t1", "t2", "n", "rep.*"), "wanted")
-    spans = join_by_weight(some, strings.where("n > 1").select("h", "t1", "t2", "n"), ["h", "t1", "t2"], "n", total, p)
+    wanted = cut(weighed(strings, groups, ["h"], "kinds").select("h", "kinds", "t1", "t2", "n", "rep.*"), "wanted")
+    spans = weighed(some, strings.where("n > 1").select("h", "t1", "t2", "n"), ["h", "t1", "t2"], "n")
     start, size = F.shiftright("place", 20), F.shiftright("place", 10).bitwiseAND(F.lit(1023))
     spans = spans.select("k1", "k2", start.alias("start"), (start + size).alias("end"))
     count = wanted.count()

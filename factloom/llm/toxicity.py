@@ -12,12 +12,14 @@ labelled sentences, as in multiple-instance learning: a document's label
 reaches its sentences, and a first fit scores them as wholes.  From then on a
 sentence stands for its highest word, the witness: the witnesses of toxic
 documents' sentences (those above 0, and each document's best) against words
-of clean sentences, the hardest among them, fitted anew each round.  A
-sentence scores as its witness; a document's two highest words and its number
-of words are calibrated on documents that the SVM did not see.
+of clean sentences, the hardest among them, fitted anew each round.  At
+the end sentences as wholes are fitted once more, with the sentences of toxic
+documents that hold a witness as the toxic ones.  A document's highest
+sentence, its two highest words and its number of words are calibrated on
+documents that neither SVM saw.
 
 As the decision is linear in the kernel, landmarks and weights fold into one
-table over subsequences, so a new word costs a few gathers, whatever the
+table over subsequences for each SVM, so a new word costs a few gathers, whatever the
 number of landmarks.
 
 Defined cases: a null text is empty and gets the score of a sentence without
@@ -44,7 +46,7 @@ from pyspark.sql import functions as F
 from factloom.llm.common import small_batches, text_or_empty
 from factloom.llm.textbytes import U, Rolling, mix, trim
 
-#: Classes of characters: 0 between words, 1-26 letters, 27 digits, 28-29 other letters, 30 a gap in a word, 31 a word's start.
+#: Classes of characters: 0 between words, 1-26 letters (those of other scripts by their code), 27 digits, 30 a gap in a word, 31 a word's start.
 GAP, START, CLASSES = 30, 31, 32
 _SPAN = 7
 _WIDTH = 26
@@ -56,7 +58,7 @@ FLOOR = -2.0
 
 @dataclass(frozen=True)
 class Toxicity:
-    """``toxic_rows`` and ``clean_rows`` bound the training sample (by hash of the id), ``train_chars`` each of its texts."""
+    """``toxic_rows`` and ``clean_rows`` bound the training sample (by hash of the id); labelled texts of more than ``train_chars`` characters are not in it."""
 
     toxic_rows: int = 1500
     clean_rows: int = 2500
@@ -71,14 +73,15 @@ class Toxicity:
 
 @dataclass
 class Model:
-    """``w3`` and ``w4``: weights of subsequences; then the SVM's offset and the calibration's weights (two words, log of their number, offset)."""
+    """``w3`` and ``w4``: weights of subsequences in the two SVMs, of words and of sentences; then their offsets and the calibration's weights (two words, the highest sentence, log of the number of words, offset)."""
 
-    w3: np.ndarray = field(default_factory=lambda: np.zeros(CLASSES**3, np.float32))
-    w4: np.ndarray = field(default_factory=lambda: np.zeros(CLASSES**4, np.float32))
+    w3: np.ndarray = field(default_factory=lambda: np.zeros((CLASSES**3, 2), np.float32))
+    w4: np.ndarray = field(default_factory=lambda: np.zeros((CLASSES**4, 2), np.float32))
     decay: float = 0.6
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
     bias: float = 0.0
-    calibration: tuple[float, ...] = (0.0, 0.0, 0.0, -30.0)
+    sentence_bias: float = 0.0
+    calibration: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0, -30.0)
 
 
 def _class_table() -> np.ndarray:
@@ -93,7 +96,7 @@ def _class_table() -> np.ndarray:
         elif ch.isdigit():
             table[c] = 27
         elif ch.isalnum():
-            table[c] = 28 + c % 2
+            table[c] = 1 + c % 26
         else:
             table[c] = GAP
     return table
@@ -107,7 +110,7 @@ def _classes(text: str) -> tuple[np.ndarray, np.ndarray]:
     if "t" not in _tables:
         _tables["t"] = _class_table()
     code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    kind = np.where(code < 1 << 16, _tables["t"][np.minimum(code, (1 << 16) - 1)], 28)
+    kind = np.where(code < 1 << 16, _tables["t"][np.minimum(code, (1 << 16) - 1)], 1 + code % 26)
     stop = (code == 10) | (code == 46) | (code == 33) | (code == 63)
     n = len(kind)
     solid = np.zeros(n + 4, bool)
@@ -175,17 +178,17 @@ def _subsequences(matrix: np.ndarray, decay: float) -> Iterator[tuple[int, float
 
 
 def word_scores(model: Model, kind: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The folded decision of every word."""
-    out, size = np.zeros(len(a)), b - a
+    """The folded decisions of every word: alone, and as a part of a sentence."""
+    out, size = np.zeros((len(a), 2)), b - a
     norm = norms(model.decay)
     for low, width in ((0, 9), (8, 14), (13, _WIDTH)):
         pick = np.flatnonzero((size > low) & (size < width) if low else size < width)
         for k in range(0, len(pick), 20_000):
             part = pick[k : k + 20_000]
-            total = np.zeros(len(part))
+            total = np.zeros((len(part), 2))
             for p, weight, index in _subsequences(_matrix(kind, a[part], b[part], width), model.decay):
                 total += weight * (model.w3 if p == 3 else model.w4)[index]
-            out[part] = total / norm[size[part]]
+            out[part] = total / norm[size[part]][:, None]
     return out
 
 
@@ -194,7 +197,7 @@ class _Scorer:
 
     def __init__(self, model: Model, most: int = 1 << 20):
         self.model, self.most = model, most
-        self.keys, self.values = np.zeros(0, U), np.zeros(0)
+        self.keys, self.values = np.zeros(0, U), np.zeros((0, 2))
 
     def words(self, kind: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         keys, where, inverse = np.unique(Rolling(kind).ranges(a, b), return_index=True, return_inverse=True)
@@ -204,31 +207,35 @@ class _Scorer:
         new[inside] = self.keys[spot[inside]] != keys[inside]
         if new.any():
             if len(self.keys) + new.sum() > self.most and len(self.keys):
-                self.keys, self.values = np.zeros(0, U), np.zeros(0)
+                self.keys, self.values = np.zeros(0, U), np.zeros((0, 2))
                 new[:] = True
             w = where[new]
             spot = np.searchsorted(self.keys, keys[new])
-            self.values = np.insert(self.values, spot, word_scores(self.model, kind, a[w], b[w]))
+            self.values = np.insert(self.values, spot, word_scores(self.model, kind, a[w], b[w]), axis=0)
             self.keys = np.insert(self.keys, spot, keys[new])
         return self.values[np.searchsorted(self.keys, keys)][inverse]
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Each text's two highest words, and its number of words."""
-        best, count = np.full((len(texts), 2), -np.inf), np.zeros(len(texts), np.int64)
+        """Each text's two highest words and highest sentence, and its number of words."""
+        best, count = np.full((len(texts), 3), -np.inf), np.zeros(len(texts), np.int64)
         for owner, text in _parts(texts):
-            kind, _ = _classes(text)
+            kind, stop = _classes(text)
             a, b = _words(kind)
             if not len(a):
                 continue
             doc = np.array(owner[0])[np.searchsorted(owner[1], a, "right") - 1]
-            score = self.words(kind, a, b) + self.model.bias
+            both = self.words(kind, a, b)
+            score = both[:, 0] + self.model.bias
+            start = np.flatnonzero(np.isin(np.arange(len(a)), sentence_starts(a, stop)) | np.concatenate(([True], doc[1:] != doc[:-1])))
+            whole = np.add.reduceat(both[:, 1], start) / np.sqrt(np.diff(np.append(start, len(a)))) + self.model.sentence_bias
+            np.maximum.at(best[:, 2], doc[start], whole)
             order = np.lexsort((-score, doc))
             first = np.flatnonzero(np.concatenate(([True], doc[order][1:] != doc[order][:-1])))
             size = np.diff(np.append(first, len(order)))
             who = doc[order[first]]
             two = np.where(size > 1, score[order[np.minimum(first + 1, len(order) - 1)]], -np.inf)
-            merged = np.concatenate((best[who], score[order[first]][:, None], two[:, None]), 1)
-            best[who] = -np.sort(-merged, 1)[:, :2]
+            merged = np.concatenate((best[who, :2], score[order[first]][:, None], two[:, None]), 1)
+            best[who, :2] = -np.sort(-merged, 1)[:, :2]
             count[who] += size
         return np.maximum(best, FLOOR), count
 
@@ -423,8 +430,15 @@ def fit(texts: list[str], labels: list[int], p: Toxicity, ids: list[int]) -> Mod
         is_yes = np.arange(len(yes[0]) + len(more) + len(no)) < len(yes[0]) + len(more)
         weight = np.concatenate((np.log1p(yes[1]), np.ones(len(more)), np.log1p(often[np.searchsorted(clean, no)])))
         w, bias = _newton(phi[np.concatenate((yes[0], more_at, no))], np.where(is_yes, 1, -1), _weights(is_yes, weight), p.cost)
-    fold = (table @ (root @ w)).astype(np.float32)
-    model = Model(decay=p.decay, bias=bias)
+    # sentences as wholes: those of toxic documents that hold a witness against those of clean ones
+    score = phi @ w + bias
+    top = np.maximum.reduceat(score[flat_words], first)
+    best = np.full(doc.max() + 1, -np.inf)
+    np.maximum.at(best, doc, top)
+    told = up & ((top > 0) | (top == best[doc]))
+    w_all, bias_all = _newton(x[told | ~up], np.where(told[told | ~up], 1, -1), _weights(told[told | ~up]), p.cost)
+    fold = (table @ (root @ np.column_stack([w, w_all]))).astype(np.float32)
+    model = Model(decay=p.decay, bias=bias, sentence_bias=bias_all)
     for q, dense in ((3, model.w3), (4, model.w4)):
         dense[list(tables[q])] = fold[list(tables[q].values())]
     test = np.flatnonzero(held) if held.any() else np.arange(len(y))
@@ -485,7 +499,7 @@ _scorers: dict[str, _Scorer] = {}
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score for every row."""
     small_batches(docs.sparkSession)
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # 4 MB, whatever the data
+    shipped = docs.sparkSession.sparkContext.broadcast(model)  # 8 MB, whatever the data
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return src.mapInArrow(_applier(shipped), "doc_id long, score double")
 

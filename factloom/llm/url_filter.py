@@ -25,7 +25,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import cut, maybe_broadcast
+from factloom.llm.common import cut, heavy_keys, join_split
 
 
 @dataclass(frozen=True)
@@ -138,9 +138,14 @@ def judge(pages: DataFrame, params: UrlFilter | None = None, id_col: str = "page
     learns = F.when(F.col("held"), 0).otherwise(F.col("n"))
     runs = texts.select(F.explode(grams(F.col("text"), p.order)).alias("gram"), F.when(F.col("by_rule") == "allow", learns).otherwise(0).alias("a"), F.when(F.col("by_rule") == "block", learns).otherwise(0).alias("b"))
     ratios = cut(ratio_table(cut(runs.groupBy("gram").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "grams"), p.order, p.alphabet), "ratios")
-    ratios = maybe_broadcast(ratios, ratios.count(), 64, p.broadcast_bytes)
     asked = texts.where("held or by_rule is null").select("text", "by_rule", "n", F.explode(grams(F.col("text"), p.order)).alias("gram"))
-    scores = asked.join(ratios, "gram").groupBy("text", "by_rule", "n").agg((F.sum("ratio") / F.count("*")).alias("score"))
+    if ratios.count() * 64 <= p.broadcast_bytes:
+        rated = asked.join(F.broadcast(ratios), "gram")
+    else:  # frequent grams are few: their ratios go to the rows
+        counts = cut(asked.groupBy("gram").agg(F.count("*").alias("c")), "counts")
+        total = counts.agg(F.sum("c")).first()[0] or 0
+        rated = join_split(asked, ratios, ["gram"], heavy_keys(counts, ["gram"], "c", total))
+    scores = rated.groupBy("text", "by_rule", "n").agg((F.sum("ratio") / F.count("*")).alias("score"))
     scores = cut(scores, "scores")
     at = threshold(scores.where("by_rule is not null").select(F.col("by_rule").alias("verdict"), "score"), p.bin_width)
     free = scores.where("by_rule is null").select(F.col("text").alias("scored"), "score")

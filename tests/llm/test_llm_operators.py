@@ -87,6 +87,24 @@ def test_near_classes_of_a_large_bucket(spark):
     assert got == classes(rows)
 
 
+def test_classes_of_more_than_a_block(spark):
+    """A bucket in which one class fills several blocks, with few others beside it, and a text whose pairs are dealt to several tasks."""
+    base = prose(8, 200).split()
+    rows = []
+    for k in range(70):
+        w = list(base)
+        w[k] = f"edit{k}"
+        rows.append((k, " ".join(w)))
+    for k in range(70, 80):
+        w = list(base)
+        for j in range(0, 190, 14):
+            w[j + k % 7] = f"far{k % 70}" if k < 76 else f"other{k}"
+        rows.append((k, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["class_id"], r["class_docs"]) for r in near_dedup.near_classes(df, near_dedup.NearDedup(bands=40, rows=2, small_bucket=4, block=16, fan=8)).collect())
+    assert got == classes(rows)
+
+
 @pytest.mark.parametrize("leader", [None, 2])
 def test_refused_sure_pairs_hold_no_link_back(spark, monkeypatch, leader):
     """The estimate puts a non-link (0 and 2) above the only link (0 and 1) between two classes; with a leader it is tried before."""
@@ -256,6 +274,54 @@ def test_url_filter(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def markov(urls, order, alphabet, asked):
+    """Brute force: the log-likelihood ratio of Witten-Bell models of accepted and rejected texts, by character."""
+    import math
+
+    counts = [Counter(), Counter()]
+    for text, side in urls:
+        marked = "\x02" * (order - 1) + text + "\x03"
+        for i in range(len(text) + 1):
+            for k in range(1, order + 1):
+                counts[side][marked[i + order - k : i + order]] += 1
+
+    def probability(side, gram):
+        if not gram:
+            return 1.0 / alphabet
+        context = gram[:-1]
+        below = [c for g, c in counts[side].items() if len(g) == len(gram) and g[:-1] == context]
+        weight = sum(below) + len(below)
+        shorter = probability(side, gram[1:])
+        return (counts[side][gram] + len(below) * shorter) / weight if weight else shorter
+
+    out = {}
+    for text in asked:
+        marked = "\x02" * (order - 1) + text + "\x03"
+        grams = [marked[i : i + order] for i in range(len(text) + 1)]
+        ratios = [math.log(probability(0, g)) - math.log(probability(1, g)) for g in grams]
+        out[text] = sum(ratios) / len(ratios) if ratios else None
+    return out
+
+
+@pytest.mark.parametrize("limit", [32 << 20, 0])
+def test_url_scores_equal_brute_force(spark, limit):
+    good, bad = [f"{w}.com/shop/{k}" for k, w in enumerate(prose(5, 25).split())], [f"win{k}.net/es/{w}" for k, w in enumerate(prose(6, 25).split())]
+    asked = ["q.org/shop/1", "win0.org/now", "é.org/a b", ""]
+    rows = [(k, "http://" + u) for k, u in enumerate([*good, *bad, *asked, *asked, good[0]])]
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumns({"host": F.lit("x"), "text": F.lit(1), "gram": F.lit(2)})
+    p = url_filter.UrlFilter(order=3, broadcast_bytes=limit)
+    digits = str.maketrans("123456789", "000000000")
+    texts = {u: u.lower().translate(digits) for _, x in rows for u in [x[7:]]}
+    held = {r["t"] for r in spark.createDataFrame([(t,) for t in set(texts.values())], "t string").where(F.pmod(F.xxhash64("t"), F.lit(p.folds)) == 0).collect()}
+    learned = [(texts[u], side) for u, side in [*((u, 0) for u in [*good, good[0]]), *((u, 1) for u in bad)] if texts[u] not in held]
+    want = markov(learned, 3, p.alphabet, [texts[u] for u in asked if u])
+    got = {r["page_id"]: r["score"] for r in url_filter.judge(df, p).collect()}
+    assert len(got) == len(rows)
+    for k, u in rows[50:58]:
+        told = want.get(texts[u[7:]])
+        assert (got[k] is None) == (told is None) and (told is None or abs(got[k] - told) < 1e-5)
+
+
 def repeated(rows, length):
     raws = [(i, (t or "").encode()) for i, t in rows]
     seen = Counter(b[p : p + length] for _, b in raws for p in range(len(b) - length + 1))
@@ -338,9 +404,29 @@ def test_media_store(docs, none):
     want = Counter((i, len((t or "").encode()), hashlib.sha256(payload(t)).hexdigest(), zlib.crc32(payload(t)[-64:])) for i, t in ROWS)
     assert Counter((r["doc_id"], r["n_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in got) == want
     assert len({(r["media_sha256"], r["feature"]) for r in got if r["doc_id"] in (1, 2)}) == 1
+
+    def told(t):
+        x = np.frombuffer(payload(t), np.uint8).astype(int) - 128
+        square, cross = sum(int(v) ** 2 for v in x) // len(x), sum((a < 0) != (b < 0) for a, b in zip(x, x[1:])) * 1000 // len(x)
+        return f"mean={sum(map(int, x)) * 1000 // len(x)};square={square};cross={cross};peak={max(abs(int(v)) for v in x)}"
+
+    whole = Counter((i, len(payload(t)) + 44, hashlib.sha256(media_store.wav(payload(t), 8000)).hexdigest(), told(t)) for i, t in ROWS)
+    assert Counter((r["doc_id"], r["media_bytes"], r["media_sha256"], r["feature"]) for r in got) == whole
     assert media_store.read_back(media_store.store(none)).count() == 0
 
 
+def test_shared_chunks_are_stored_once(spark):
+    shared = prose(70, 6000)
+    rows = [(k, prose(71 + k, 50) + shared) for k in range(12)]
+    stored = media_store.store(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    places = {}
+    for r in stored:
+        for c in r["chunks"]:
+            places.setdefault(bytes(c["chunk"]), set()).add((c["place"]["pack"], c["place"]["offset"]))
+    assert all(len(p) == 1 for p in places.values())
+    assert len(places) < sum(len(r["chunks"]) for r in stored) / 3
+
+
 def test_chunks_follow_content():
     p = media_store.MediaStore()
     data = np.random.default_rng(2).integers(0, 256, 200_000).astype(np.uint8)
@@ -378,6 +464,38 @@ def test_toxicity(spark, none):
     assert {x["score"] < 0.5 for x in toxicity.score(df, toxicity.train(df, labels.where("toxic = 0"))).collect()} == {True}
 
 
+def test_word_decisions_equal_the_kernel_by_brute_force():
+    """The folded table gives what the kernel with the landmarks gives, subsequence by subsequence."""
+    from itertools import combinations
+
+    r = random.Random(3)
+    words = prose(30, 40).split()
+    texts = [" ".join(r.choice(words) for _ in range(20)) + (" scoundrel." if k % 2 else ".") for k in range(80)]
+    p = toxicity.Toxicity(landmarks=20, rounds=1)
+    model = toxicity.fit(texts, [k % 2 for k in range(80)], p, list(range(80)))
+
+    def subsequences(word):
+        c = [toxicity.START, *(ord(x) - 96 for x in word)]
+        out = Counter()
+        for q in (3, 4):
+            for at in combinations(range(len(c)), q):
+                if at[-1] - at[0] < toxicity._SPAN:
+                    key = 0
+                    for x in at:
+                        key = key * toxicity.CLASSES + c[x]
+                    out[q, key] += p.decay ** (at[-1] - at[0] + 1 - q)
+        return out
+
+    for word in ("scoundrel", "scoundrl", "scooundrel", words[0]):
+        kind, _ = toxicity._classes(word)
+        got = toxicity.word_scores(model, kind, *toxicity._words(kind))[0]
+        want = sum(v * (model.w3 if q == 3 else model.w4)[k].astype(float) for (q, k), v in subsequences(word).items()) / toxicity.norms(p.decay)[len(word)]
+        assert np.allclose(got, want, atol=1e-4)
+    # other scripts are told apart
+    a, b = (toxicity._classes(w)[0].tolist() for w in ("\u043f\u0440\u0438", "\u0434\u043e\u043c"))
+    assert a != b and toxicity._classes("\U00020000")[0][0] != toxicity._classes("\U00020001")[0][0]
+
+
 def test_licenses(spark, none):
     notice = 'Copyright.\n Licensed under the Apache License, Version 2.0 (the "License");\n you may not use this file except in compliance\n with the License.\n You may obtain a copy of the License at\n\n  http://www.apache.org/licenses/LICENSE-2.0\n\n Unless required by applicable law or agreed to in writing, software\n distributed under the License is distributed on an "AS IS" BASIS,\n WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\n See the License for the specific language governing permissions and\n limitations under the License.\n'
     rows = [(1, notice), (2, "Text. Released under the MIT License.\nLicensed under CC BY-NC 4.0."), (3, None), (4, "I am licensed."), (2, "Released under the MIT License")]
@@ -386,6 +504,16 @@ def test_licenses(spark, none):
     assert license_scan.scan(none).count() == 0
 
 
+def test_every_rule_is_found(spark):
+    """Each rule's own sentences, behind one another, give its license; tables and columns of other kinds do no harm."""
+    p = license_scan.LicenseScan()
+    texts = ["\n\n".join(dict(p.sentences)[x] for x in parts) for _, parts in p.rules]
+    rows = [(k, t, "x", 1) for k, t in enumerate(texts)] + [(-1, texts[0] + " word" * 200_000, None, 2), (-2, "2.0 0 GNU license", "y", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, sentences string, matches int")
+    got = {r["doc_id"]: [m["license"] for m in r["matches"]] for r in license_scan.scan(df).collect()}
+    assert got == {k: [name] for k, (name, _) in enumerate(p.rules)} | {-1: ["Apache-2.0"], -2: []}
+
+
 def test_licenses_of_both_readings(spark):
     """What only lines show and what only wrapped text shows are both found, in order and once."""
     heading, wrapped = "My data set\nLicensed under CC BY-NC 4.0.\n\n", "This work is licensed under the GNU General\nPublic License, version 3."
