@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-CHECKPOINT = "spark.checkpoint.dir"
+from factloom.plans.scratch import ARROW_ROWS, cut, scratch
+
+__all__ = ["cut", "digest", "heavy_keys", "join_split", "maybe_broadcast", "scratch", "small_batches", "text_or_empty"]
 
 #: Rows in one Arrow batch of whole texts; the default of 10,000 long texts would not fit a worker.
 TEXT_BATCH_ROWS = 512
@@ -24,48 +20,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(ARROW_ROWS, str(TEXT_BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where a local session names none (tests), a temporary folder is set once;
-    on a cluster that would be a folder of one machine, so the setting must be there.
-    """
-    found = spark.conf.get(CHECKPOINT, None) or spark.sparkContext.getConf().get(CHECKPOINT, None)
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError(f"set {CHECKPOINT} to a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="factloom-")
-        spark.conf.set(CHECKPOINT, found)
-    return found.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001 - the session may be gone; leftovers are only disk
-        pass
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/factloom-{label}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
-
-    Cuts the lineage: an executor lost later costs a re-read, not a re-run of
-    what made the table.  Parquet also takes less disk than a checkpoint.
-    """
-    spark = df.sparkSession
-    path = scratch(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -14,11 +14,13 @@ several classes are searched on.  Small ones give their pairs across classes
 for verification.  The members of larger ones, with ``wide`` more coordinates
 of a byte each, meet in blocks inside a task: a class that fills a block has
 blocks of its own, which never meet one another, so a bucket that is nearly
-one class costs little more than its rows.  A task passes on only pairs that
-these coordinates put within five standard deviations of the threshold, and of
-sure ones only as many as join classes; a sure pair that verification refused
-joins none in later rounds, so what it held back comes out then.  That goes on
-until no bucket gives a pair that was not verified and none holds one back, so
+one class costs little more than its rows.  Only pairs that these coordinates
+put within five standard deviations of the threshold count.  Texts of few
+shingles carry these along, so that the task itself decides about their pairs
+and passes on links alone, as many as join classes; of the others it passes on
+all that are not sure, and of sure ones as many as join classes; a sure pair that
+verification refused joins none in later rounds, so what it held back comes out
+then.  That goes on until no bucket gives a pair that was not verified and none holds one back, so
 no link between classes is lost and no bucket is expanded into rows of all its
 pairs.
 
@@ -57,6 +59,8 @@ class NearDedup:
     small_bucket: int = 16
     wide: int = 2048
     block: int = 1024
+    #: Texts of so many different shingles carry them into the blocks.
+    carried: int = 512
     #: Pairs of one text that a task verifies, about; a text with more is copied.
     fan: int = 2000
     broadcast_bytes: int = 32 << 20
@@ -171,10 +175,7 @@ def _verifier(p: NearDedup):
                 a, ta, b, tb = (batch.column(c).slice(lo, 64).to_pylist() for c in ("a", "a_text", "b", "b_text"))
                 near = []
                 for ka, xa, kb, xb in zip(a, ta, b, tb, strict=True):
-                    (ea, wa), (eb, wb) = bag(ka, xa), bag(kb, xb)
-                    _, ia, ib = np.intersect1d(ea, eb, assume_unique=True, return_indices=True)
-                    shared = np.minimum(wa[ia], wb[ib]).sum()
-                    near.append(bool(shared >= p.similarity * (wa.sum() + wb.sum() - shared) - 1e-9))
+                    near.append(similar(bag(ka, xa), bag(kb, xb), p.similarity))
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(near)], ["a", "b", "near"])
         trim()
 
@@ -182,19 +183,43 @@ def _verifier(p: NearDedup):
 
 
 def _wide_sketcher(p: NearDedup):
+    """Wide coordinates, and the elements with their counts where they are few."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[bytes] = []
+            bags: list[bytes | None] = []
             for a, b, e, o, w in _elements(batch.column("text"), p.shingle, p.wide):
                 out += [bytes(x) for x in (dart_signatures(e, o, w, b - a, p.wide) & U(255)).astype(np.uint8)]
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(out, pa.binary())], ["digest", "wide"])
+                ends = np.searchsorted(o, np.arange(b - a + 1))
+                for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    bags.append(e[lo:hi].tobytes() + w[lo:hi].astype(np.uint32).tobytes() if hi - lo <= p.carried else None)
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(out, pa.binary()), pa.array(bags, pa.binary())], ["digest", "wide", "bag"])
         trim()
 
     return run
 
 
-def _block_pairs(rows: list[dict], p: NearDedup) -> Iterator[tuple[bytes, bytes, bool]]:
-    """Pairs across classes of one block, or of two, that may reach the similarity, and whether each is sure.
+def _bag(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(raw) // 12
+    return np.frombuffer(raw, U, n), np.frombuffer(raw, np.uint32, n, 8 * n).astype(float)
+
+
+def similar(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], similarity: float) -> bool:
+    """Whether two weighted sets, elements and weights, reach the similarity."""
+    (ea, wa), (eb, wb) = a, b
+    total = wa.sum() + wb.sum()
+    if min(wa.sum(), wb.sum()) < similarity * max(wa.sum(), wb.sum()) - 1e-9:
+        return False
+    spot = np.searchsorted(eb, ea)
+    inside = np.flatnonzero(spot < len(eb))
+    inside = inside[eb[spot[inside]] == ea[inside]]
+    shared = np.minimum(wa[inside], wb[spot[inside]]).sum()
+    return bool(shared >= similarity * (total - shared) - 1e-9)
+
+
+def _block_pairs(rows: list[dict], p: NearDedup) -> Iterator[tuple[bytes, bytes, bool, bool]]:
+    """Pairs across classes of one block, or of two, that may reach the similarity, whether each is sure, and whether it is known to be a link.
 
     A row's ``refused`` are the smaller digests of its sure pairs that failed.
     """
@@ -225,13 +250,18 @@ def _block_pairs(rows: list[dict], p: NearDedup) -> Iterator[tuple[bytes, bytes,
             x = parent[x]
         return x
 
+    bags = [r["bag"] and _bag(r["bag"]) for r in rows]
     for k in np.argsort(-near, kind="stable").tolist():
         a, b = root(label[i[k]]), root(label[j[k]])
         pair = tuple(sorted((rows[i[k]]["digest"], rows[j[k]]["digest"])))
         if a != b and pair not in refused:
-            if near[k] >= sure:
+            one, other = bags[i[k]], bags[j[k]]
+            known = bool(one and other) and similar(one, other, p.similarity)
+            if one and other and not known:
+                continue
+            if known or near[k] >= sure:
                 parent[a] = b
-            yield *pair, bool(near[k] >= sure)
+            yield *pair, bool(near[k] >= sure), known
 
 
 def _blocker(p: NearDedup):
@@ -242,7 +272,7 @@ def _blocker(p: NearDedup):
 
         def done() -> pa.RecordBatch:
             pairs = list(dict.fromkeys(_block_pairs(held, p)))
-            return pa.RecordBatch.from_arrays([pa.array([x[c] for x in pairs], t) for c, t in enumerate((pa.binary(), pa.binary(), pa.bool_()))], ["a", "b", "sure"])
+            return pa.RecordBatch.from_arrays([pa.array([x[c] for x in pairs], t) for c, t in enumerate((pa.binary(), pa.binary(), pa.bool_(), pa.bool_()))], ["a", "b", "sure", "known"])
 
         for batch in batches:
             for r in batch.to_pylist():
@@ -340,11 +370,13 @@ def near_classes(docs: DataFrame, params: NearDedup | None = None, id_col: str =
         units = rows.select(*bucket, "digest", "label", "mine", F.explode(others).alias("other"))
         units = units.select(*bucket, "digest", "label", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
         unit = ["band", "h", "lo", "hi"]
-        return units.join(wide, "digest").repartition(*unit).sortWithinPartitions(*unit).mapInArrow(_blocker(p), "a binary, b binary, sure boolean")
+        return units.join(wide, "digest").repartition(*unit).sortWithinPartitions(*unit).mapInArrow(_blocker(p), "a binary, b binary, sure boolean, known boolean")
 
-    fresh, wide, refused = tried, None, None
-    while not fresh.isEmpty():
+    fresh, links, wide, refused = tried, None, None, None
+    while links is not None or not fresh.isEmpty():
         found = verify(fresh)
+        found = found if links is None else cut(found.unionByName(links), "edges")
+        links = None
         edges = found if edges is None else cut(edges.unionByName(found), "edges")
         labels = components(edges)
         # texts of buckets that still hold several classes; the rest needs no more links
@@ -357,16 +389,18 @@ def near_classes(docs: DataFrame, params: NearDedup | None = None, id_col: str =
         pairs = small.withColumnRenamed("digest", "a").join(other, ["band", "h"]).where("a < b and label <> b_label").select("a", "b")
         if not large.isEmpty():
             if wide is None:  # later steps need some of these texts
-                wide = fetch(large.select("digest")).mapInArrow(_wide_sketcher(p), "digest binary, wide binary")
+                wide = fetch(large.select("digest")).mapInArrow(_wide_sketcher(p), "digest binary, wide binary, bag binary")
                 wide = cut(wide.join(texts.select("digest", "bands"), "digest"), "wide")
             while True:
                 met = cut(across(large, wide, refused), "met")
                 # a tried pair that is still across classes was refused: it must not hold others back
-                failed = cut(met.where("sure").select("a", "b").distinct().join(tried, ["a", "b"], "left_semi"), "refused")
+                failed = cut(met.where("sure and not known").select("a", "b").distinct().join(tried, ["a", "b"], "left_semi"), "refused")
                 if failed.isEmpty():
                     break
                 refused = failed if refused is None else cut(refused.unionByName(failed), "refused")
-            pairs = pairs.unionByName(met.select("a", "b"))
+            pairs = pairs.unionByName(met.where("not known").select("a", "b"))
+            links = cut(met.where("known").select("a", "b").distinct(), "links")
+            links = None if links.isEmpty() else links
         fresh = cut(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = cut(tried.unionByName(fresh), "pairs")
     if edges is None:
@@ -397,5 +431,7 @@ def keep_one(docs: DataFrame, params: NearDedup | None = None, id_col: str = "do
     again = kept.where("__fl_rows > 1")
     if pick.where("__fl_rows > 1").isEmpty():
         return once
-    one = again.groupBy("__fl_digest", "__fl_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("r")).select("r.*")
+    # maps have no order and no hash; their text has
+    told = [F.to_json(F.struct(c)) if "map<" in kind else F.col(c) for c, kind in docs.dtypes]
+    one = again.groupBy("__fl_digest", "__fl_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*told)).alias("r")).select("r.*")
     return once.unionByName(one)

@@ -83,8 +83,9 @@ def test_near_classes_of_a_large_bucket(spark):
             w[r.randrange(len(w))] = f"edit{k}"
         rows.append((k, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = Counter((r["doc_id"], r["class_id"], r["class_docs"]) for r in near_dedup.near_classes(df, near_dedup.NearDedup(small_bucket=4, block=32)).collect())
-    assert got == classes(rows)
+    for carried in (512, 0):
+        got = Counter((r["doc_id"], r["class_id"], r["class_docs"]) for r in near_dedup.near_classes(df, near_dedup.NearDedup(small_bucket=4, block=32, carried=carried)).collect())
+        assert got == classes(rows)
 
 
 def test_classes_of_more_than_a_block(spark):
@@ -133,7 +134,7 @@ def test_refused_sure_pairs_hold_no_link_back(spark, monkeypatch, leader):
             import pyarrow as pa
 
             for b in batches:
-                yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array([estimates[t] for t in b.column("text").to_pylist()], pa.binary())], ["digest", "wide"])
+                yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array([estimates[t] for t in b.column("text").to_pylist()], pa.binary()), pa.nulls(b.num_rows, pa.binary())], ["digest", "wide", "bag"])
 
         return run
 
@@ -547,3 +548,31 @@ def test_pipeline_stages_keep_columns(spark, docs, tmp_path):
     assert {m for _, m, _ in classes(ROWS)} - left == {11}  # leaks the item
     pieces = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert set(pieces.doc_id.dropna().astype(int)) == left - {None}
+
+
+def test_pipeline_on_empty_tables(spark, none, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    none.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    few = spark.createDataFrame([(1, "a b c"), (None, None)], "doc_id long, text string")
+    few.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {1, None}
+
+
+def test_columns_of_clashing_names(spark):
+    """Columns that the operators use inside do no harm in their inputs."""
+    item = prose(20, 40)
+    names = ("seed", "mask", "item_id", "diagonal", "points", "tokens", "score", "k", "y", "toxic", "digest", "bands", "label", "h", "c", "n")
+    rows = [(1, "x " + item), (2, prose(21, 50)), (3, prose(21, 50)), (3, prose(21, 50)), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({n: F.lit(7) for n in names} | {"m": F.create_map(F.lit("a"), F.col("doc_id"))})
+    bench = spark.createDataFrame([(5, item)], "item_id long, text string").withColumns({n: F.lit("z") for n in ("doc_id", "seed", "w")})
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()] == [(1, 5)]
+    kept = decontaminate.keep_clean(docs, bench)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 3, 4]
+    labels = spark.createDataFrame([(2, 0), (1, 1)], "doc_id long, toxic int").withColumns({"text": F.lit(1), "k": F.lit(2), "y": F.lit(3)})
+    assert toxicity.score(docs, toxicity.train(docs, labels)).count() == 5
+    one = near_dedup.keep_one(docs)
+    assert one.columns == docs.columns and sorted(r["doc_id"] for r in one.collect()) == [1, 2, 4]
