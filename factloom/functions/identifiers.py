@@ -93,14 +93,14 @@ def core_name(name: Column) -> Column:
 
 def entropy(text: Column) -> Column:
     """Bits a character; 0 for an empty string."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
     n = F.length(text)
 
     def bits(c: Column) -> Column:
-        p = F.size(F.filter(chars, lambda x: x == c)) / n
+        p = (n - F.length(F.replace(text, c, F.lit("")))) / n
         return -p * F.log2(p)
 
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.aggregate(F.transform(F.array_distinct(chars), bits), F.lit(0.0), lambda a, b: a + b))
+    chars = F.array_distinct(F.filter(F.split(text, ""), lambda c: c != ""))
+    return F.when(n == 0, F.lit(0.0)).otherwise(F.aggregate(chars, F.lit(0.0), lambda a, c: a + bits(c)))
 
 
 def minification_score(name: Column) -> Column:
@@ -151,6 +151,41 @@ def context_lines(text: Column, name: Column, lines: int = 8, most: int = 600) -
     return F.when(spot == 0, "").otherwise(F.substring(F.trim(F.concat(F.substring(text, start, spot - start), tail)), 1, most))
 
 
+def context_window(text: Column, name: Column, lines: int = 10, long_line: int = 500, radius: int = 600) -> Column:
+    """The first occurrence with ``radius`` characters on both sides where its line is longer than ``long_line``; else ``lines`` lines from it on."""
+    spot = F.call_function("locate", name, text)
+    before = F.substring_index(F.substring(text, F.lit(1), spot - 1), "\n", -1)
+    rest = F.substring(text, spot, F.length(text))
+    line = F.length(before) + F.length(F.substring_index(rest, "\n", 1))
+    left = F.greatest(spot - radius, F.lit(1))
+    around = F.substring(text, left, spot - left + F.length(name) + radius)
+    # the last line end belongs to it, but goes with the white space
+    ahead = F.concat(before, F.substring_index(rest, "\n", lines))
+    return F.when(spot == 0, "").otherwise(F.regexp_replace(F.when(line > long_line, around).otherwise(ahead), r"^\s+|\s+$", ""))
+
+
+def pattern_contexts(text: Column, name: Column, most: int = 100) -> Column:
+    """What stands at a name's first declaration, assignment, call and property access; those that there are, each cut."""
+    word = F.concat(F.lit(r"\b"), F.regexp_replace(name, r"\$", r"\\\$"))
+    patterns = (
+        F.concat(F.lit(r"((?:var|let|const|function|class)\s+"), word, F.lit(r"\b[^\n]{0,80})")),
+        F.concat(F.lit("("), word, F.lit(r"\s*=[^=\n][^\n]{0,80})")),
+        F.concat(F.lit("("), word, F.lit(r"\([^\n]{0,80})")),
+        F.concat(F.lit("("), word, F.lit(r"\.[^\n]{0,80})")),
+    )
+    found = F.array(*(F.substring(F.regexp_extract(text, p, 1), 1, most) for p in patterns))
+    return F.filter(found, lambda x: x != "")
+
+
+#: Two more tests of minified names, of analyses: a letter first, then letters and digits; or anything after it.
+SHORT_NAME = r"^[a-zA-Z][a-zA-Z0-9]{1,3}$"
+
+
+def is_short(name: Column, any_rest: bool = False) -> Column:
+    """Names of at most four characters that begin with a letter (of two to four letters and digits, unless ``any_rest``)."""
+    return (F.length(name) <= 4) & name.rlike("^[a-zA-Z]") if any_rest else name.rlike(SHORT_NAME)
+
+
 def valid_answer(name: Column) -> Column:
     """Whether a namer's answer can be used."""
     return name.isNotNull() & name.rlike(r"^[A-Za-z_$][A-Za-z0-9_$]{1,30}$")

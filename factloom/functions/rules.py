@@ -1,180 +1,121 @@
-"""Rule tables of naming, as data.
+"""Rules of naming: the property table, and what follows from the tables by rule.
 
-The tables are fixed values.  The property table holds the language's own
-objects; callers add rows of their own through ``property_rules``.
+Callers add rows of their own through ``property_rules``, or a file of them
+(:func:`factloom.sources.files.read_property_rules`): the table holds the
+language's own objects and no more.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
+from factloom.functions import tables
+
 # Property and score, by the type that the property speaks for.
-_PROPERTIES = {
-    "array": "push 5 pop 5 shift 5 unshift 5 splice 5 slice 4 join 5 sort 4 reverse 4 flat 4 flatMap 5 fill 4 copyWithin 5 findIndex 5 findLast 4",
-    "iterable": "forEach 4 map 5 filter 5 reduce 5 reduceRight 5 find 4 includes 3 some 4 every 4 indexOf 3 values 3",
-    "sized": "length 3",
-    "string": "split 6 trim 5 trimStart 5 trimEnd 5 replace 4 replaceAll 5 match 4 startsWith 6 endsWith 6 substring 5 toUpperCase 6 toLowerCase 6 padStart 6 padEnd 6 repeat 4 charCodeAt 6 charAt 5",
-    "promise": "then 7 catch 7 finally 5",
-    "map": "get 4 set 4 has 4 delete 4 entries 4 keys 3 size 4 clear 4",
-    "set": "add 5",
-    "emitter": "on 6 emit 7 off 6 once 6 removeListener 7 addListener 7 addEventListener 6 removeEventListener 6",
-    "function": "call 6 apply 6 bind 6",
-    "error": "stack 7 message 6 code 5 cause 6 name 4",
-    "stream": "pipe 7 write 5 read 5 end 4 resume 5 pause 5 destroy 5 readable 5 writable 5",
-    "ctor": "prototype 7 constructor 4 create 5 extend 5",
-    "process": "exit 7 argv 7 env 6 cwd 6 stdout 6 stderr 6 stdin 6 pid 6 platform 5 nextTick 7",
-    "parser": "parse 6 deserialize 6",
-    "serializer": "stringify 6 serialize 6 toJSON 5",
-    "encoder": "encode 6",
-    "decoder": "decode 6",
-    "object": "assign 5 freeze 5 fromEntries 5 defineProperty 5 hasOwnProperty 4",
-    "fs": "readFile 8 writeFile 8 readFileSync 8 writeFileSync 8 existsSync 7 mkdirSync 7 statSync 7 readdirSync 7",
-    "httpResponse": "statusCode 7 statusMessage 6 writeHead 7",
-    "httpMessage": "setHeader 7 getHeader 6 socket 5",
-    "url": "pathname 7 hostname 7 protocol 7 searchParams 7 href 6 origin 6 host 6 port 5 hash 5",
-    "element": "querySelector 8 querySelectorAll 8 getElementById 8 getAttribute 7 setAttribute 7 appendChild 7 removeChild 7 textContent 6 innerHTML 6 classList 6 style 5 parentNode 6 children 5",
-    "response": "json 7 text 6 ok 5 status 5 headers 5 body 5",
-    "request": "url 5 method 6",
-    "abortCtrl": "signal 7 abort 8 aborted 6",
-    "hasher": "digest 8 update 6",
-    "buffer": "byteLength 6 byteOffset 5 subarray 6 copy 6",
-    "websocket": "readyState 7 send 6 close 5",
-    "number": "toFixed 6 toPrecision 6",
-    "logger": "debug 6 info 5 warn 6 trace 6 log 4",
-    "iterator": "next 6 return 5 throw 5 done 5",
-    "worker": "postMessage 7 terminate 7",
-    "module": "exports 5 require 5",
-    "ref": "current 5",
-}
-
-# How a type is shown, where not by its own name.
-DISPLAY = {
-    "array": "arr", "iterable": "list", "sized": "items", "string": "str", "map": "registry", "set": "pool",
-    "function": "fn", "error": "err", "ctor": "Ctor", "process": "proc", "number": "num", "object": "obj",
-    "fs": "fsUtil", "httpResponse": "httpResp", "httpMessage": "httpMsg", "element": "el", "response": "resp",
-    "request": "req", "buffer": "buf", "websocket": "ws", "module": "mod", "iterator": "iter", "boolean": "flag",
-    "optional": "opt", "symbol": "sym", "bigint": "bigNum", "abortSignal": "signal", "eventType": "eventName",
-    "pathSegment": "pathSeg", "displayable": "displayVal", "timerFn": "timerCallback", "milliseconds": "delayMs",
-    "intervalFn": "intervalCallback", "statusStr": "statusValue", "valued": "val", "keyed": "keyed",
+PROPERTIES: dict[str, dict[str, int]] = {
+    "array": {
+        "push": 5, "pop": 5, "shift": 5, "unshift": 5, "splice": 5, "slice": 4, "join": 5, "sort": 4, "reverse": 4, "flat": 4, "flatMap": 5,
+        "fill": 4, "copyWithin": 5, "findIndex": 5, "findLast": 4,
+    },
+    "iterable": {
+        "forEach": 4, "map": 5, "filter": 5, "reduce": 5, "reduceRight": 5, "find": 4, "includes": 3, "some": 4, "every": 4, "indexOf": 3,
+        "values": 3,
+    },
+    "sized": {"length": 3},
+    "string": {
+        "split": 6, "trim": 5, "trimStart": 5, "trimEnd": 5, "replace": 4, "replaceAll": 5, "match": 4, "startsWith": 6, "endsWith": 6,
+        "substring": 5, "toUpperCase": 6, "toLowerCase": 6, "padStart": 6, "padEnd": 6, "repeat": 4, "charCodeAt": 6, "charAt": 5,
+    },
+    "promise": {"then": 7, "catch": 7, "finally": 5},
+    "map": {"get": 4, "set": 4, "has": 4, "delete": 4, "entries": 4, "keys": 3, "size": 4, "clear": 4},
+    "set": {"add": 5},
+    "emitter": {"on": 6, "emit": 7, "off": 6, "once": 6, "removeListener": 7, "addListener": 7, "addEventListener": 6, "removeEventListener": 6},
+    "function": {"call": 6, "apply": 6, "bind": 6},
+    "error": {"stack": 7, "message": 6, "code": 5, "cause": 6, "name": 4},
+    "stream": {"pipe": 7, "write": 5, "read": 5, "end": 4, "resume": 5, "pause": 5, "destroy": 5, "readable": 5, "writable": 5},
+    "ctor": {"prototype": 7, "constructor": 4, "create": 5, "extend": 5},
+    "process": {"exit": 7, "argv": 7, "env": 6, "cwd": 6, "stdout": 6, "stderr": 6, "stdin": 6, "pid": 6, "platform": 5, "nextTick": 7},
+    "parser": {"parse": 6, "deserialize": 6},
+    "serializer": {"stringify": 6, "serialize": 6, "toJSON": 5},
+    "encoder": {"encode": 6},
+    "decoder": {"decode": 6},
+    "object": {"assign": 5, "freeze": 5, "fromEntries": 5, "defineProperty": 5, "hasOwnProperty": 4},
+    "fs": {"readFile": 8, "writeFile": 8, "readFileSync": 8, "writeFileSync": 8, "existsSync": 7, "mkdirSync": 7, "statSync": 7, "readdirSync": 7},
+    "httpResponse": {"statusCode": 7, "statusMessage": 6, "writeHead": 7},
+    "httpMessage": {"setHeader": 7, "getHeader": 6, "socket": 5},
+    "url": {"pathname": 7, "hostname": 7, "protocol": 7, "searchParams": 7, "href": 6, "origin": 6, "host": 6, "port": 5, "hash": 5},
+    "element": {
+        "querySelector": 8, "querySelectorAll": 8, "getElementById": 8, "getAttribute": 7, "setAttribute": 7, "appendChild": 7,
+        "removeChild": 7, "textContent": 6, "innerHTML": 6, "classList": 6, "style": 5, "parentNode": 6, "children": 5,
+    },
+    "response": {"json": 7, "text": 6, "ok": 5, "status": 5, "headers": 5, "body": 5},
+    "request": {"url": 5, "method": 6},
+    "abortCtrl": {"signal": 7, "abort": 8, "aborted": 6},
+    "hasher": {"digest": 8, "update": 6},
+    "buffer": {"byteLength": 6, "byteOffset": 5, "subarray": 6, "copy": 6},
+    "websocket": {"readyState": 7, "send": 6, "close": 5},
+    "number": {"toFixed": 6, "toPrecision": 6},
+    "logger": {"debug": 6, "info": 5, "warn": 6, "trace": 6, "log": 4},
+    "iterator": {"next": 6, "return": 5, "throw": 5, "done": 5},
+    "worker": {"postMessage": 7, "terminate": 7},
+    "module": {"exports": 5, "require": 5},
+    "ref": {"current": 5},
 }
 
-# Class of an instanceof test, and its type.
-INSTANCE_TYPES = {
-    "Error": "error", "TypeError": "error", "RangeError": "error", "SyntaxError": "error", "Promise": "promise",
-    "RegExp": "regex", "Date": "date", "URL": "url", "URLSearchParams": "urlParams", "Map": "map", "Set": "set",
-    "WeakMap": "weakMap", "WeakSet": "weakSet", "ArrayBuffer": "buffer", "Uint8Array": "bytes", "Buffer": "buf",
-    "Blob": "blob", "File": "file", "ReadableStream": "readStream", "WritableStream": "writeStream",
-    "EventEmitter": "emitter", "AbortController": "abortCtrl", "AbortSignal": "abortSignal", "Worker": "worker",
-    "WebSocket": "websocket", "FormData": "formData", "Headers": "headers", "Request": "req", "Response": "resp",
-}
+SURE_CLASSES = frozenset(tables.SURE_CLASSES)
+SCHEMA_METHODS = frozenset(tables.SCHEMA_METHODS)
+PLAIN_PROPERTIES = frozenset(tables.PLAIN_PROPERTIES)
+PLAIN_IMPORTS = frozenset(tables.PLAIN_IMPORTS)
+ERROR_CLASSES = frozenset(tables.ERROR_CLASSES)
+EVENTS = frozenset((*tables.EVENTS, *tables.EVENT_HANDLERS))
 
-# Answer of typeof, and its type.
-TYPEOF_TYPES = {
-    "function": "function", "string": "string", "number": "number", "boolean": "boolean",
-    "symbol": "symbol", "object": "object", "undefined": "optional", "bigint": "bigint",
-}
 
-# Events whose handlers are named after them with the ending "Handler".
-EVENTS = frozenset(
-    "error close data end drain message connect disconnect open ready finish abort timeout request response upgrade connection pause resume change progress load unload "
-    "click submit input focus blur scroll resize install activate fetch push sync exit warning update delete insert select create destroy start stop reset clear".split()
-)
+def property_rules(extra: Iterable[tuple[str, str, int]] = ()) -> list[tuple[str, str, int]]:
+    """(property, type, score): of several rules for one property the highest stays, the first of equal ones."""
+    found: dict[str, tuple[str, int]] = {}
+    own = [(prop, kind, score) for kind, scores in PROPERTIES.items() for prop, score in scores.items()]
+    for prop, kind, score in [*own, *extra]:
+        if prop not in found or score > found[prop][1]:
+            found[prop] = (kind, score)
+    return [(p, t, s) for p, (t, s) in found.items()]
 
-# Constructors whose instances are surely named after them.
-SURE_CLASSES = frozenset("Map Set WeakMap WeakSet Promise Error TypeError RangeError Date URL URLSearchParams RegExp EventEmitter Buffer AbortController Worker SharedArrayBuffer".split())
 
-# Known calls of a global, their result's name and score.
-GLOBAL_CALLS = {
-    "Promise": ("promise", 9), "setTimeout": ("timer", 7), "setInterval": ("intervalTimer", 7), "clearTimeout": ("timerRef", 5),
-    "clearInterval": ("intervalRef", 5), "fetch": ("fetchResult", 8), "setImmediate": ("immediateHandle", 6), "queueMicrotask": ("microtask", 6),
-}
+def handler_name(event: str) -> str:
+    """What the handler of an event is called."""
+    return tables.EVENT_HANDLERS.get(event, f"{event}Handler")
 
-# Known calls of an object's method and their result's name; they score 8.
-MEMBER_CALLS = {
-    "Object.create": "proto", "Object.assign": "merged", "Object.freeze": "frozen", "Object.keys": "keys",
-    "Object.values": "values", "Object.entries": "entries", "Object.fromEntries": "fromEntries",
-    "Array.from": "items", "Array.isArray": "isArray", "Array.of": "items", "Math.random": "randomVal",
-    "Math.floor": "floored", "Math.ceil": "ceiled", "Math.round": "rounded", "Math.max": "maxVal", "Math.min": "minVal", "Math.abs": "absVal",
-}
 
-# Method, result's name, score.
-METHOD_RESULTS = {
-    "bind": ("boundFn", 6), "call": ("callResult", 5), "apply": ("applyResult", 5), "map": ("mapped", 5), "flatMap": ("flatMapped", 5),
-    "filter": ("filtered", 5), "reduce": ("reduced", 5), "find": ("found", 5), "indexOf": ("idx", 4), "lastIndexOf": ("idx", 4),
-    "slice": ("sliced", 4), "splice": ("removed", 4), "concat": ("combined", 4), "flat": ("flattened", 5), "split": ("parts", 5),
-    "join": ("joined", 5), "replace": ("replaced", 5), "replaceAll": ("replaced", 5), "match": ("matched", 5), "matchAll": ("matches", 5),
-    "trim": ("trimmed", 5), "repeat": ("repeated", 4), "sort": ("sorted", 4), "reverse": ("reversed", 4), "entries": ("entries", 5),
-    "keys": ("keys", 5), "values": ("values", 5), "valueOf": ("val", 4), "then": ("promise", 6), "catch": ("promise", 5),
-    "finally": ("promise", 5), "charAt": ("char", 5), "charCodeAt": ("charCode", 5), "substring": ("substr", 4), "test": ("matches", 5),
-    "exec": ("regexMatch", 5), "cloneNode": ("cloned", 6), "querySelector": ("el", 7), "querySelectorAll": ("els", 7),
-}
+def module_name(path: str) -> str | None:
+    """What a known module is called that is imported as a whole."""
+    return tables.MODULE_PATHS.get(path) or tables.MODULES.get(path.removeprefix("node:"))
 
-# Builders of schemas.
-SCHEMA_METHODS = frozenset(
-    "object extend union intersection discriminatedUnion array tuple string number boolean bigint symbol undefined null void any unknown never optional nullable required partial "
-    "passthrough strict strip describe brand refine superRefine transform pipe and or pick omit merge deepPartial readonly promise function lazy set record with schema validate shape".split()
-)
-
-# Properties that say nothing about a name.
-PLAIN_PROPERTIES = frozenset(
-    "then catch finally next done value return throw data body result error items list map set get has add delete clear size length keys values entries "
-    "call apply bind toString valueOf toJSON assign create from of all race resolve reject any".split()
-)
-
-# Globals that a name may stand for, and what it is then called; they score 7.
-GLOBAL_ALIASES = {
-    "parseInt": "parseIntFn", "parseFloat": "parseFloatFn", "isNaN": "isNaNFn", "isFinite": "isFiniteFn",
-    "encodeURIComponent": "encodeURIFn", "decodeURIComponent": "decodeURIFn", "setTimeout": "setTimeoutFn",
-    "clearTimeout": "clearTimeoutFn", "queueMicrotask": "queueMicrotaskFn", "Function": "functionRef", "Object": "objectRef",
-    "Array": "arrayRef", "String": "stringRef", "Number": "numberRef", "Boolean": "booleanRef", "Symbol": "symbolRef",
-    "Promise": "promiseRef", "globalThis": "globalRef", "process": "processRef", "console": "consoleRef", "undefined": "undefinedVal",
-}
 
-# Method of a class and the role that it gives the class; classes of errors.
-CLASS_ROLES = {
-    "connect": "Connector", "parse": "Parser", "serialize": "Serializer", "validate": "Validator", "transform": "Transformer",
-    "compile": "Compiler", "encode": "Encoder", "decode": "Decoder", "encrypt": "Cipher", "decrypt": "Cipher", "hash": "Hasher",
-    "sign": "Signer", "verify": "Verifier", "handle": "Handler", "dispatch": "Dispatcher", "route": "Router", "render": "Renderer",
-    "schedule": "Scheduler", "listen": "Listener", "publish": "Publisher", "subscribe": "Subscriber", "resolve": "Resolver",
-}
-ERROR_CLASSES = frozenset("Error TypeError RangeError SyntaxError ReferenceError URIError EvalError AggregateError".split())
-
-# Method or function, and the types of its arguments by place ("*": of all), with scores.
-ARGUMENT_TYPES = {
-    "readFile": "filePath 9 encoding 7 callback 7", "writeFile": "filePath 9 data 7 callback 7", "readFileSync": "filePath 9 encoding 7",
-    "writeFileSync": "filePath 9 data 7", "dirname": "filePath 9", "basename": "filePath 9", "extname": "filePath 9",
-    "stat": "filePath 8 callback 7", "mkdir": "filePath 8 callback 7", "parse": "jsonStr 8", "stringify": "serializable 7",
-    "setTimeout": "timerFn 8 milliseconds 8", "setInterval": "intervalFn 8 milliseconds 8",
-    "join": "* pathSegment 9", "resolve": "* pathSegment 9", "log": "* displayable 5", "warn": "* displayable 5", "error": "* displayable 5", "info": "* displayable 5", "debug": "* displayable 5",
-}
+def argument_rules() -> list[tuple[str, int, str, int]]:
+    """(callee, place, type, score); place -1 stands for all places.
+
+    A callee is a function's name, ``.method`` of any object, or ``object.method``
+    where that object's method takes other arguments.
+    """
+    rows = [(f".{name}", -1, kind, score) for name, (kind, score) in tables.ALL_ARGUMENTS.items()]
+    for mark, table in ((".", tables.METHOD_ARGUMENTS), ("", tables.OBJECT_ARGUMENTS), ("", tables.FUNCTION_ARGUMENTS)):
+        for name, places in table.items():
+            rows += [(mark + name, k, *told) for k, told in enumerate(places) if told]
+    return rows
 
-# Types of names by their initializer's name, for propagation.
-NAME_TYPES = {
-    "items": "array", "arr": "array", "str": "string", "num": "number", "map": "map", "set": "set", "promise": "promise", "err": "error",
-    "fn": "function", "asyncFn": "function", "date": "date", "regExp": "regex", "rePattern": "regex", "url": "url", "timer": "timer",
-}
 
+def shape_rules() -> list[tuple[str, str, int, int, str]]:
+    """(rule, name, score, ordinal, prop): a row for each property of each shape."""
+    return [(f"shape{k}", name, score, k, prop) for k, (props, name, score) in enumerate(tables.SHAPES) for prop in props]
 
-def property_rules(extra: Iterable[tuple[str, str, int]] = ()) -> list[tuple[str, str, int]]:
-    """(property, type, score): of several rules for one property the highest stays, the first of equal ones."""
-    found: dict[str, tuple[str, int]] = {}
-    rows = []
-    for kind, text in _PROPERTIES.items():
-        words = text.split()
-        rows += [(p, kind, int(s)) for p, s in zip(words[::2], words[1::2], strict=True)]
-    for prop, kind, score in [*rows, *extra]:
-        if prop not in found or score > found[prop][1]:
-            found[prop] = (kind, score)
-    return [(p, t, s) for p, (t, s) in found.items()]
 
+def namespace_rules() -> list[tuple[str, str, int, int, int, str]]:
+    """(rule, name, score, ordinal, required, prop): a row for each constant of each namespace."""
+    return [(name, name, score, k, least, prop) for k, (name, score, least, props) in enumerate(tables.NAMESPACES) for prop in props]
 
-def argument_rules() -> list[tuple[str, int, str, int]]:
-    """(function, place, type, score); place -1 stands for all places."""
-    rows = []
-    for name, text in ARGUMENT_TYPES.items():
-        words = text.split()
-        if words[0] == "*":
-            rows.append((name, -1, words[1], int(words[2])))
-        else:
-            rows += [(name, k, words[2 * k], int(words[2 * k + 1])) for k in range(len(words) // 2)]
-    return rows
+
+def switch_type(words: list[str]) -> tuple[str, int] | None:
+    """The type, and its score, of what is switched on, by the strings of the cases."""
+    for vocabulary, kind, score, need in tables.SWITCH_WORDS:
+        if any(w in vocabulary for w in words) if need == "any" else len(words) > 1 and all(w in vocabulary for w in words):
+            return kind, score
+    return None

@@ -13,7 +13,7 @@ from factloom.functions.identifiers import to_identifier
 from factloom.plans.scratch import cut
 
 #: The order in which kinds of evidence win ties.
-PHASES = {"init": 1, "usage": 2, "shape": 3, "prop_agg": 4, "destruct": 5, "call_arg": 6, "alias": 7}
+PHASES = {"init": 1, "namespace": 2, "usage": 3, "shape": 4, "prop_agg": 5, "destruct": 6, "call_arg": 7, "alias": 8}
 
 
 def argmax(df: DataFrame, keys: list[str], score: str, *ties: str) -> DataFrame:
@@ -57,16 +57,49 @@ def with_hints(merged: DataFrame, hints: DataFrame, keys: list[str], least: floa
     return named.select(*keys, candidate.alias("candidate"), score.alias("score")).where(F.col("score") >= least)
 
 
-def unique_names(df: DataFrame, base: str, order: list[str], within: list[str] | None = None, out: str = "unique_name") -> DataFrame:
-    """Identifiers of at most 32 characters; the n-th taker of one gets ``_n``.
+def number_in_groups(df: DataFrame, groups: list[str], order: list[str], out: str) -> DataFrame:
+    """Numbers from 1 within each group, in order; sorted in ranges, so that a group of any size is spread."""
+    placed = cut(batches(df, [*groups, *order], 1, "__rank"), "numbers")
+    first = placed.groupBy(*groups).agg(F.min("__rank").alias("__first"))
+    return placed.join(first, groups).withColumn(out, (F.col("__rank") - F.col("__first") + 1).cast("int")).drop("__rank", "__first")
+
 
-    Exact where no base is another's numbered form.
+def unique_names(df: DataFrame, base: str, order: list[str], within: list[str] | None = None, out: str = "unique_name") -> DataFrame:
+    """Identifiers of at most 32 characters; in order, a row takes its base, or with ``_2``, ``_3`` … the first that no earlier row has.
+
+    ``order`` must tell rows of one group apart.  Rows begin with their number
+    among the takers of their base; where two bases then meet (``a`` numbered
+    and a base ``a_2``), the earlier row stays and the later one, with those
+    behind it, moves on.  That settles after as many rounds as such meetings
+    follow from one another, usually one, and gives what going through the
+    rows one by one gives.
     """
-    clean = F.substring(to_identifier(F.col(base)), 1, 32)
-    w = Window.partitionBy(*(within or []), "__clean").orderBy(*order)
-    named = df.withColumn("__clean", clean).withColumn("__n", F.row_number().over(w))
-    name = F.when(F.col("__n") == 1, F.col("__clean")).otherwise(F.concat("__clean", F.lit("_"), F.col("__n").cast("string")))
-    return named.withColumn(out, name).drop("__clean", "__n")
+    keys = [*(within or []), "__clean"]
+    rows = df.withColumn("__clean", F.substring(to_identifier(F.col(base)), 1, 32))
+    if within:
+        rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    else:
+        rows = number_in_groups(rows, keys, order, "__n")
+    rows = rows.withColumns({"__at": F.col("__n"), "__root": F.regexp_replace("__clean", r"(_[0-9]+)+$", "")})
+    name = F.when(F.col("__at") == 1, F.col("__clean")).otherwise(F.concat("__clean", F.lit("_"), F.col("__at").cast("string")))
+    # only bases that differ by numbers can meet
+    group = [*(within or []), "__root"]
+    mixed = rows.select(*keys, "__root").distinct().groupBy(*group).agg(F.count("*").alias("c")).where("c > 1").select(*group)
+    rows = cut(rows.join(mixed.withColumn("__mixed", F.lit(True)), group, "left"), "unique")
+    done, open_ = rows.where("__mixed is null"), rows.where("__mixed")
+    earlier = Window.partitionBy(*keys).orderBy("__n")
+    while not open_.isEmpty():
+        named = open_.withColumn(out, name)
+        rank = F.struct(*order)
+        kept = named.groupBy(*(within or []), out).agg(F.min(rank).alias("__kept"))
+        bumped = named.join(kept, [*(within or []), out]).withColumn("__lost", F.struct(*order) != F.col("__kept"))
+        moved = bumped.withColumn("__ahead", F.col("__at") + F.col("__lost").cast("int") - F.col("__n"))
+        new = moved.withColumn("__at", (F.col("__n") + F.max("__ahead").over(earlier)).cast("int")).select(*open_.columns, "__lost")
+        new = cut(new, "unique")
+        open_ = new.drop("__lost")
+        if new.where("__lost").isEmpty():
+            break
+    return done.unionByName(open_).withColumn(out, name).select(*df.columns, out)
 
 
 def seed_fallback(names: DataFrame, seeds: DataFrame, key: str, name: str = "candidate") -> DataFrame:
@@ -99,6 +132,7 @@ def batches(df: DataFrame, order: list[str], size: int, out: str = "batch") -> D
 
     Ranges are sorted in parallel; only one count a range is summed up.
     """
+    df = cut(df, "rows")  # sampling reads it once more
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = ordered.withColumn("__id", F.monotonically_increasing_id())
     placed = placed.withColumns({"__part": F.shiftright("__id", 33), "__row": F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))})
@@ -109,6 +143,18 @@ def batches(df: DataFrame, order: list[str], size: int, out: str = "batch") -> D
     return placed.join(F.broadcast(starts), "__part").withColumn(out, F.floor((F.col("__start") + F.col("__row")) / size)).drop("__id", "__part", "__row", "__start")
 
 
+def histogram(df: DataFrame, kinds: list[str], order: str, sample: str) -> DataFrame:
+    """kinds, n, first, sample: how many rows of each kind, the first one's place and its ``sample``."""
+    first = F.min(F.struct(F.col(order).alias("first"), F.col(sample).alias("sample")))
+    return df.groupBy(*kinds).agg(F.count("*").alias("n"), first.alias("f")).select(*kinds, "n", "f.first", "f.sample")
+
+
+def agreed(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
+    """keys, value, order: the value of keys all of whose rows have one value, and its first place."""
+    one = df.groupBy(*keys).agg(F.min(value).alias(value), F.max(value).alias("__most"), F.min(order).alias(order))
+    return one.where(F.col(value) == F.col("__most")).drop("__most")
+
+
 def residual(names: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return names.join(done.select(key).distinct(), key, "left_anti")
 

@@ -42,6 +42,7 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, every: i
 
     ``every``: after so many rounds the ranks are cut.
     """
+    edges = cut(edges, "edges")
     nodes = cut(nodes_of(edges), "nodes")
     n = nodes.count()
     if not n:
@@ -63,6 +64,7 @@ def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
     Labels begin as the node's own name; nodes without out-edges keep it.
     All nodes change at once; it ends early when none does.
     """
+    edges = cut(edges, "edges")
     labels = cut(nodes_of(edges).withColumn("label", F.col("node")), "labels")
     for _ in range(rounds):
         votes = edges.join(labels, F.col("dst") == F.col("node")).groupBy("src", "label").agg(F.sum("weight").alias("w"))
@@ -86,6 +88,7 @@ def independent_cascade(edges: DataFrame, seeds: DataFrame, probability: float =
 
     The dice are hashes of (seed, step, edge), so that a run can be repeated.
     """
+    edges = cut(edges, "edges")
     active = cut(seeds.select("node").distinct().withColumn("step", F.lit(0)), "active")
     for step in range(1, steps + 1):
         front = active.where(F.col("step") == step - 1)
@@ -110,18 +113,19 @@ def propagated_names(active: DataFrame, edges: DataFrame, named: DataFrame) -> D
     return batches(first, ["node"], 1, "place").select("node", F.concat("name", turn).alias("name"))
 
 
-def propagate_types(links: DataFrame, base: DataFrame, rounds: int = 20) -> DataFrame:
+def propagate_types(links: DataFrame, base: DataFrame) -> DataFrame:
     """(node, type, score): the widest path from a typed node over links, ties to the smaller type.
 
     ``links``: lhs, alias, score, used in both directions; ``base``: node,
     type, score.  A node takes the least of the link's and the source's score;
-    it runs until nothing rises.  Base nodes keep what they have.
+    it runs until nothing rises, as many rounds as the longest chain has links.
+    Base nodes keep what they have.
     """
     ways = links.select(F.col("lhs").alias("dst"), F.col("alias").alias("src"), "score").unionByName(links.select(F.col("alias").alias("dst"), F.col("lhs").alias("src"), "score"))
     ways = cut(ways.withColumnRenamed("score", "link").distinct(), "links")
     fixed = base.select(F.col("node").alias("fixed"))
     known = cut(base.select("node", "type", "score"), "types")
-    for _ in range(rounds):
+    while True:
         sent = ways.join(known, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "type", F.least("link", "score").alias("score"))
         sent = sent.join(fixed, F.col("node") == F.col("fixed"), "left_anti")
         best = known.unionByName(sent).groupBy("node").agg(F.min(F.struct((-F.col("score")).alias("m"), "type")).alias("b"))
@@ -129,7 +133,6 @@ def propagate_types(links: DataFrame, base: DataFrame, rounds: int = 20) -> Data
         if new.join(known, ["node", "type", "score"], "left_anti").isEmpty():
             return new
         known = new
-    return known
 
 
 def cooccurrence(tokens: DataFrame, key: str, order: str, name: str, window: int = 10) -> DataFrame:
@@ -144,6 +147,28 @@ def cooccurrence(tokens: DataFrame, key: str, order: str, name: str, window: int
     return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n")).groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
+def connected_clusters(matrix: DataFrame, threshold: int = 5) -> DataFrame:
+    """(name, cluster): names joined by any chain of pairs of at least ``threshold``, by the smallest of them.
+
+    The scalable variant of :func:`greedy_clusters`: a name passes its smallest
+    known neighbour on and jumps to what that one knows, so the rounds grow with
+    the logarithm of a chain's length.
+    """
+    strong = cut(matrix.where((F.col("n") >= threshold) & (F.col("a") != F.col("b"))).select("a", "b").distinct(), "strong")
+    ways = cut(strong.unionByName(strong.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "strong")
+    labels = cut(ways.groupBy(F.col("a").alias("name")).agg(F.min(F.least("a", "b")).alias("cluster")), "clusters")
+    while True:
+        near = ways.join(labels, F.col("b") == F.col("name")).select(F.col("a").alias("name"), "cluster")
+        best = labels.unionByName(near).groupBy("name").agg(F.min("cluster").alias("cluster"))
+        # what a name's label learns, all names of that label learn
+        told = best.join(labels.select("name", F.col("cluster").alias("old")), "name").groupBy("old").agg(F.min("cluster").alias("new"))
+        jump = best.join(told, F.col("cluster") == F.col("old"), "left").select("name", F.least("cluster", F.coalesce("new", "cluster")).alias("cluster"))
+        new = cut(jump, "clusters")
+        if new.join(labels, ["name", "cluster"], "left_anti").isEmpty():
+            return new
+        labels = new
+
+
 def greedy_clusters(matrix: DataFrame, threshold: int = 5) -> DataFrame:
     """(name, cluster): names in order take their free neighbours of at least ``threshold`` along.
 

@@ -10,17 +10,47 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.identifiers import context_lines, valid_answer
+from factloom.functions.identifiers import context_lines, context_window, pattern_contexts, valid_answer
 from factloom.operators import evidence
 from factloom.operators.text import placed_tokens
 from factloom.plans.scratch import cut
 
 Namer = Callable[[str], str]
 
+
+@dataclass(frozen=True)
+class Profile:
+    """What a model takes: characters of context for a name, names in a batch, words in an answer."""
+
+    context: int
+    characters: int
+    batch: int
+    answer: int
+
+
+# Profiles by a part of the model's name, the first that fits; the last is for all others.
+PROFILES = (
+    ("opus", Profile(128_000, 2000, 50, 16_000)),
+    ("sonnet", Profile(128_000, 1600, 60, 12_000)),
+    ("gpt-4o-mini", Profile(128_000, 1000, 30, 3_000)),
+    ("gpt-4o", Profile(128_000, 1600, 60, 6_000)),
+    ("", Profile(32_000, 600, 10, 1_200)),
+)
+
+
+def profile(model: str) -> Profile:
+    return next(p for part, p in PROFILES if part in model.lower())
+
+
+def choose_model(available: list[str], wanted: list[str]) -> str | None:
+    """The first wanted model that is there, by a part of its name; else the first that is there."""
+    return next((a for w in wanted for a in available if w.lower() in a.lower()), available[0] if available else None)
+
 STRICT = "Name these identifiers of a program. Answer with one JSON object of old and new names; leave out those that you are not sure of."
 EAGER = "Name every one of these identifiers of a program, with your best guess. Answer with one JSON object of old and new names."
 
@@ -45,6 +75,16 @@ def occurrences(rest: DataFrame, sources: DataFrame, around: int = 400, k: int =
     return distinct.groupBy("key", "name").agg(F.array_join(F.transform(F.slice(top, 1, k), lambda x: x["snippet"]), " | ").alias("snippets"))
 
 
+def windows(rest: DataFrame, sources: DataFrame) -> DataFrame:
+    """key, name, context: ten lines from a name's first place on, or 600 characters on both sides where its line is long."""
+    return rest.select("key", "name").join(sources.select("key", "text"), "key").select("key", "name", context_window(F.col("text"), F.col("name")).alias("context"))
+
+
+def telling_contexts(rest: DataFrame, sources: DataFrame, most: int = 3) -> DataFrame:
+    """key, name, contexts: the first declaration, assignment, call and property access of a name, ``most`` of them."""
+    return rest.select("key", "name").join(sources.select("key", "text"), "key").select("key", "name", F.slice(pattern_contexts(F.col("text"), F.col("name")), 1, most).alias("contexts"))
+
+
 def neighbour_votes(toks: DataFrame, rest: DataFrame, named: DataFrame, near: int = 100, least: int = 2) -> DataFrame:
     """key, name, neighbour, n: the named identifier that is most often within ``near`` characters of an uncertain one.
 
@@ -157,6 +197,58 @@ def fill_gaps(rest: DataFrame, merged: DataFrame, namer: Namer = plain_namer, si
     return done
 
 
+def name_rest(rest: DataFrame, sources: DataFrame, namer: Namer = plain_namer, size: int = 40, passes: int = 1, most: int | None = None) -> DataFrame:
+    """key, name, candidate, pass: answers for the uncertain names of each source, the most used ones first.
+
+    ``rest``: key, name, n.  The first pass asks in batches of ``size``, a
+    second one asks about what is left, in batches of 30, for its best guess.
+    ``most`` names of a source are asked about (all, if not given).
+    """
+    order = Window.partitionBy("key").orderBy(F.desc("n"), "name")
+    placed = rest.select("key", "name", "n").withColumn("place", F.row_number().over(order) - 1)
+    placed = cut(placed.where(F.col("place") < most) if most is not None else placed, "asked")
+    told = cut(occurrences(placed, sources).withColumnRenamed("snippets", "context"), "contexts")
+    done: DataFrame | None = None
+    for k in range(1, passes + 1):
+        left = placed if done is None else placed.join(done, ["key", "name"], "left_anti")
+        many = size if k == 1 else min(30, size)
+        batch = F.struct("key", F.floor((F.row_number().over(order) - 1) / many).alias("number"))
+        batched = left.withColumn("batch", batch).join(told, ["key", "name"], "left").withColumn("context", F.coalesce("context", F.lit("")))
+        asked = prompts(batched.select("batch", "name", "context"), eager=k > 1)
+        rows = ask_keyed(asked.select(F.col("batch.key").alias("key"), "names", "prompt"), namer).where(F.col("candidate") != F.col("name"))
+        new = cut(rows.join(placed.select("key", "name"), ["key", "name"], "left_semi").withColumn("pass", F.lit(k)), "answers")
+        done = new if done is None else done.unionByName(new)
+    return done
+
+
+def ask_keyed(batches: DataFrame, namer: Namer) -> DataFrame:
+    """key, name, candidate: usable answers to the prompts of each source."""
+    kind = dict(batches.dtypes)["key"]
+
+    def run(frames):
+        import pandas as pd
+
+        for frame in frames:
+            rows = [(key, k, v) for key, names, prompt in zip(frame["key"], frame["names"], frame["prompt"], strict=True) for k, v in parse_answer(namer(prompt), list(names)).items()]
+            yield pd.DataFrame(rows, columns=["key", "name", "candidate"])
+
+    return batches.mapInPandas(run, f"key {kind}, name string, candidate string").where(valid_answer(F.col("candidate")))
+
+
+def fill_until(rest: DataFrame, merged: DataFrame, target: float, namer: Namer = plain_namer, size: int = 100, rounds: int = 10) -> DataFrame:
+    """:func:`fill_gaps`, a round at a time, until ``target`` per cent of all names are given or a round gives none."""
+    total = rest.select("name").union(merged.select("key")).distinct().count()
+    done = cut(merged.select("key", "value"), "merged")
+    for _ in range(rounds):
+        have = done.count()
+        if 100 * have >= target * total:
+            break
+        done = fill_gaps(rest, done, namer, size, 1)
+        if done.count() == have:
+            break
+    return done
+
+
 def answer_pairs(answer: Column) -> Column:
     """A map from an answer with or without a code fence, in expressions only; pairs where it is no JSON object."""
     plain = F.regexp_replace(answer, r"```[a-z]*", "")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.identifiers import IDENTIFIER, detect_format
+from factloom.plans.scratch import bound_batches, cut
 
 
 def identifiers(text: Column) -> Column:
@@ -58,6 +59,7 @@ def split_wrappers(df: DataFrame, key: str, text: str) -> DataFrame:
 
     import pandas as pd
 
+    # fixed value: the head of a module
     header = re.compile(r"var\s+(\w+)\s*=\s*\w+\s*\(\s*\(\s*\)\s*=>\s*\{", re.ASCII)
 
     def run(frames):
@@ -80,6 +82,7 @@ def split_wrappers(df: DataFrame, key: str, text: str) -> DataFrame:
             yield pd.DataFrame(out, columns=[key, "ordinal", "code", "name"])
 
     kind = dict(df.dtypes)[key]
+    bound_batches(df.sparkSession)
     return df.select(key, text).mapInPandas(run, f"{key} {kind}, ordinal int, code string, name string")
 
 
@@ -98,18 +101,29 @@ def extract_modules(df: DataFrame, key: str, text: str) -> DataFrame:
     return found
 
 
-def apply_renames(df: DataFrame, key: str, text: str, renames: DataFrame, out: str = "renamed") -> DataFrame:
-    """Texts with whole identifiers replaced; ``renames``: mangled, semantic.
+def apply_renames(df: DataFrame, key: str, text: str, renames: DataFrame, out: str = "renamed", broadcast_rows: int = 200_000) -> DataFrame:
+    """Texts with whole identifiers replaced; ``renames``: mangled, semantic, one row a name.
 
-    Unknown identifiers stay.  Tokens are joined with the map, so that it may
-    be of any size, and put back between the gaps.
+    One row for each row of ``df``, whatever its key; a null text stays null.
+    Unknown identifiers stay.  Tokens are joined with the map (broadcast if it
+    has ``broadcast_rows`` rows at most) and put back between the gaps.
     """
-    pieces = df.select(key, identifiers(F.col(text)).alias("ids"), F.split(F.col(text), IDENTIFIER, -1).alias("gaps"))
-    rows = pieces.select(key, F.posexplode("gaps").alias("at", "gap"), F.col("ids")).select(key, "at", "gap", F.get("ids", F.col("at")).alias("mangled"))
-    new = rows.join(renames.select("mangled", "semantic"), "mangled", "left")
+    rows = cut(df.select(key, F.col(text).alias("__text")).withColumn("__row", F.monotonically_increasing_id()), "texts")
+    pieces = rows.where("__text is not null").select("__row", identifiers(F.col("__text")).alias("ids"), F.split(F.col("__text"), IDENTIFIER, -1).alias("gaps"))
+    parts = pieces.select("__row", F.posexplode("gaps").alias("at", "gap"), "ids").select("__row", "at", "gap", F.get("ids", F.col("at")).alias("mangled"))
+    names = renames.select("mangled", "semantic")
+    names = F.broadcast(names) if names.count() <= broadcast_rows else names
     piece = F.concat("gap", F.coalesce("semantic", "mangled", F.lit("")))
     line = F.transform(F.array_sort(F.collect_list(F.struct("at", piece.alias("p")))), lambda x: x["p"])
-    return new.groupBy(key).agg(F.array_join(line, "").alias(out))
+    done = parts.join(names, "mangled", "left").groupBy("__row").agg(F.array_join(line, "").alias(out))
+    return rows.select(key, "__row").join(done, "__row", "left").select(key, out)
+
+
+def module_scopes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, ordinal, name, exports, module): the heads ``name = f((exports, module) => {`` of lazy modules."""
+    head = r"(?:var|let|const|,)?\s*([A-Za-z_$][A-Za-z0-9_$]*)\s*=\s*[A-Za-z_$][A-Za-z0-9_$]*\(\(([A-Za-z_$][A-Za-z0-9_$]*),\s*([A-Za-z_$][A-Za-z0-9_$]*)\)\s*=>\s*\{"
+    groups = [F.regexp_extract_all(F.col(text), F.lit(head), F.lit(k)).alias(n) for k, n in ((1, "name"), (2, "exports"), (3, "module"))]
+    return df.select(key, F.posexplode(F.arrays_zip(*groups)).alias("ordinal", "m")).select(key, "ordinal", "m.name", "m.exports", "m.module")
 
 
 def markdown_table(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -111,12 +111,8 @@ def q_sequence_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM s LEFT JOIN q ON token = name
 """)
 def q_rank_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = text.frequencies(_document_tokens(spark, sf_dir), "token").where(F.round(ids.minification_score(F.col("token")), 9) > 0.4)
-    ranked = evidence.batches(counts.withColumn("down", -F.col("n")), ["down", "token"], 1, "rank")
-    places = spark.range(5000).select(F.col("id").alias("place"), ids.sequence_name(F.col("id")).alias("name"))
-    found = ranked.join(F.broadcast(places), F.col("token") == F.col("name"), "left")
-    match = F.coalesce(F.abs(F.col("place") - F.col("rank")) < 20, F.lit(False))
-    return found.select("token", "n", "rank", "place", match.alias("rank_match"), ids.importance(F.col("n")).alias("importance"))
+    counts = text.frequencies(_document_tokens(spark, sf_dir), "token")
+    return naming.rank_identifiers(counts, name="token")
 
 
 @_query(f"""SELECT d.doc_id, t.token, round(1 - (instr(d.text, t.token) - 1) / length(d.text), 6) AS score
@@ -279,9 +275,26 @@ def q_evidence_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.merge_evidence(_evidence(spark, sf_dir), ["id"]).select("id", "candidate", "score", "phase_rank")
 
 
+#: Bases that look like other bases with numbers: a, a_2, a_3, a_2_2.
+_BASE_SQL = "CASE p_partkey % 10 WHEN 0 THEN {a} || '_2' WHEN 3 THEN {a} || '_3' WHEN 7 THEN {a} || '_2_2' ELSE {a} END"
+_BASE = _BASE_SQL.format(a="split_part(p_name, ' ', 1)")
+
+
+@_query(f"""WITH RECURSIVE p AS MATERIALIZED (SELECT p_partkey AS id, p_brand AS brand, {_BASE} AS base, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS turn FROM part),
+    r AS (SELECT brand, 0::BIGINT AS turn, []::VARCHAR[] AS taken, NULL::VARCHAR AS new, NULL::BIGINT AS id FROM (SELECT DISTINCT brand FROM p) UNION ALL
+      SELECT brand, turn, list_append(taken, new), new, id FROM (SELECT p.brand, p.turn, r.taken, p.id, CASE WHEN NOT list_contains(r.taken, base) THEN base ELSE base || '_' || list_filter(range(2, len(r.taken) + 3), lambda k: NOT list_contains(r.taken, base || '_' || k))[1] END AS new
+        FROM r JOIN p ON p.brand = r.brand AND p.turn = r.turn + 1))
+    SELECT id, new AS unique_name FROM r WHERE id IS NOT NULL""")
+def q_unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names unique within a brand; the SQL goes through them one by one."""
+    rows = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_brand", F.expr(_BASE).alias("base"))
+    return evidence.unique_names(rows, "base", ["id"], ["p_brand"]).select("id", "unique_name")
+
+
 @_query(f"""WITH m AS (SELECT id, candidate FROM ({_EVIDENCE_SQL}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, phase_rank) = 1)
     SELECT id, CASE WHEN n = 1 THEN candidate ELSE candidate || '_' || n END AS unique_name FROM (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY id) AS n FROM m)""")
-def q_unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_numbered_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names unique over the whole table, numbered in sorted ranges."""
     merged = evidence.merge_evidence(_evidence(spark, sf_dir), ["id"])
     return evidence.unique_names(merged, "candidate", ["id"]).select("id", "unique_name")
 
@@ -295,15 +308,6 @@ def q_seed_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.seed_fallback(names, seeds, "lang").select("doc_id", "candidate")
 
 
-@_query("""SELECT count(*) AS bindings, count(l.doc_id) AS named, count_if(l.quality = 1)::BIGINT AS good, count(*) - count(l.doc_id) AS uncertain, round(100 * count(l.doc_id) / count(*), 1) AS coverage
-    FROM documents d LEFT JOIN labels l USING (doc_id)""")
-def q_stats_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = _t(spark, sf_dir, "labels").select(F.col("doc_id").alias("l"), "quality")
-    docs = _t(spark, sf_dir, "documents").select("doc_id").join(labels, F.col("doc_id") == F.col("l"), "left")
-    sums = docs.agg(F.count("*").alias("bindings"), F.count("l").alias("named"), F.count_if(F.col("quality") == 1).alias("good"))
-    return sums.select("bindings", "named", "good", (F.col("bindings") - F.col("named")).alias("uncertain"), evidence.coverage(F.col("named"), F.col("bindings")).alias("coverage"))
-
-
 @_query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def q_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.residual(_t(spark, sf_dir, "documents").select("doc_id", "lang"), _t(spark, sf_dir, "labels"), "doc_id")
@@ -338,18 +342,16 @@ def q_union_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.union_by_priority([good, _t(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("v"))], "doc_id", "v")
 
 
-@_query("SELECT event_type, count(*) AS n, min(event_id) AS first_id, arg_min(props, event_id) AS sample FROM events GROUP BY event_type")
+@_query("SELECT event_type, count(*) AS n, min(event_id) AS first, arg_min(props, event_id) AS sample FROM events GROUP BY event_type")
 def q_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.min(F.struct("event_id", "props"))
-    return _t(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), first["props"].alias("sample"))
+    return evidence.histogram(_t(spark, sf_dir, "events"), ["event_type"], "event_id", "props")
 
 
-@_query("SELECT user_id, min(event_type) AS event_type FROM events WHERE length(event_type) >= 5 GROUP BY user_id HAVING count(DISTINCT event_type) = 1")
+@_query("SELECT l_orderkey, min(l_returnflag) AS flag FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_returnflag) = 1")
 def q_conflict_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names with several candidates are left alone."""
-    e = _t(spark, sf_dir, "events").where(F.length("event_type") >= 5)
-    one = e.groupBy("user_id").agg(F.count_distinct("event_type").alias("kinds"), F.min("event_type").alias("event_type"))
-    return one.where("kinds = 1").select("user_id", "event_type")
+    found = _t(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_returnflag").alias("flag"), F.col("l_linenumber").alias("at"))
+    return evidence.agreed(found, ["l_orderkey"], "flag", "at").select("l_orderkey", "flag")
 
 
 _EDGES = """SELECT least(a, b) AS src, greatest(a, b) AS dst, count(*) AS weight FROM (SELECT c.n_name AS a, s.n_name AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey
@@ -419,16 +421,17 @@ def _propagate_sql(rounds: int) -> str:
     return f"WITH {', '.join(ctes)} SELECT node, type, score FROM k{rounds}"
 
 
-@_query(_propagate_sql(12))
+@_query(_propagate_sql(25))
 def q_propagate_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _t(spark, sf_dir, "nation")
     k = F.col("n_nationkey")
     links = n.select(((k * 7 + 3) % 25).alias("lhs"), k.alias("alias"), (k % 4 + 3).alias("score"))
     base = n.where("n_nationkey % 9 = 0").select(k.alias("node"), F.concat(F.lit("t"), F.col("n_regionkey").cast("string")).alias("type"), (F.col("n_regionkey") + 4).alias("score"))
-    return graph.propagate_types(links, base, 12)
+    return graph.propagate_types(links, base)
 
 
-_TURNS = f"SELECT conv_id, turn, i, unnest(w) AS name FROM (SELECT conv_id, turn, regexp_extract_all(text, '{ids.IDENTIFIER}') AS w, range(0, len(regexp_extract_all(text, '{ids.IDENTIFIER}'))) AS i FROM conversations)"
+#: Places of words in a turn, in thousandths of their number.
+_PLACES = f"SELECT key, w[i + 1] AS token, 1000 * i // len(w) AS spot FROM (SELECT key, w, unnest(range(0, len(w))) AS i FROM (SELECT conv_id * 1000 + turn AS key, regexp_extract_all(text, '{ids.IDENTIFIER}') AS w FROM conversations))"
 
 
 @_query(f"""WITH t AS (SELECT conv_id * 1000 + turn AS k, unnest(range(0, len(w))) AS at, unnest(w) AS name FROM (SELECT conv_id, turn, regexp_extract_all(text, '{ids.IDENTIFIER}') AS w FROM conversations)),
@@ -442,11 +445,12 @@ def q_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RENAMES = (("the", "theNamed"), ("of", "ofNamed"), ("and", "and_2"))
 
 
-@_query("""WITH RECURSIVE x AS (SELECT conv_id, turn, '|' || regexp_replace(regexp_replace(text, '([A-Za-z_$][A-Za-z0-9_$]*)', chr(1) || '\\1' || chr(2), 'g'), '$', '') AS s FROM conversations)
-    SELECT conv_id, turn, md5(replace(replace(substr(replace(replace(replace(s, chr(1) || 'the' || chr(2), 'theNamed'), chr(1) || 'of' || chr(2), 'ofNamed'), chr(1) || 'and' || chr(2), 'and_2'), 2), chr(1), ''), chr(2), '')) AS digest FROM x""".replace("\\\\1", "\\1"))
+@_query("""SELECT conv_id, turn, md5(replace(replace(replace(replace(replace(regexp_replace(t, '([A-Za-z_$][A-Za-z0-9_$]*)', chr(1) || '\\1' || chr(2), 'g'), chr(1) || 'the' || chr(2), 'theNamed'), chr(1) || 'of' || chr(2), 'ofNamed'),
+    chr(1) || 'and' || chr(2), 'and_2'), chr(1), ''), chr(2), '')) AS digest FROM (SELECT conv_id, turn, CASE WHEN turn % 7 = 0 THEN NULL ELSE text END AS t FROM conversations)""".replace("\\\\1", "\\1"))
 def q_rename_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _t(spark, sf_dir, "conversations").withColumn("k", F.struct("conv_id", "turn"))
-    done = text.apply_renames(c, "k", "text", _rows(spark, list(_RENAMES), "mangled string, semantic string"))
+    """Texts with new names; the key is a conversation, so that many rows share it, and some texts are null."""
+    c = _t(spark, sf_dir, "conversations").withColumns({"k": F.struct("conv_id", "turn"), "t": F.when(F.col("turn") % 7 != 0, F.col("text"))})
+    done = text.apply_renames(c, "k", "t", _rows(spark, list(_RENAMES), "mangled string, semantic string"))
     return done.select("k.conv_id", "k.turn", F.md5(F.col("renamed").cast("binary")).alias("digest"))
 
 
@@ -472,24 +476,25 @@ def q_greedy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-_SCRIPT = r"regexp_extract(html, '<script[^>]*>([^<]*(?:<[^<]*)*?)</script>', 1)"
+_SCRIPT = r"SELECT page_id * 100 + i - 1 AS key, s[i] AS s FROM (SELECT page_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '<script[^>]*>([^<]*(?:<[^<]*)*?)</script>', 1) AS s FROM pages))"
 
 
 def _scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """key, text: the inline script of every page."""
-    script = F.regexp_extract("html", r"<script[^>]*>([^<]*(?:<[^<]*)*?)</script>", 1)
-    return _t(spark, sf_dir, "pages").select(F.col("page_id").alias("key"), script.alias("text"))
+    """key, text: all inline scripts of every page."""
+    scripts = F.regexp_extract_all("html", F.lit(r"<script[^>]*>([^<]*(?:<[^<]*)*?)</script>"), F.lit(1))
+    each = _t(spark, sf_dir, "pages").select("page_id", F.posexplode(scripts).alias("k", "text"))
+    return each.select((F.col("page_id") * 100 + F.col("k")).alias("key"), "text")
 
 
-@_query(rf"""SELECT page_id AS key, 'variable' AS kind, regexp_extract(s, '\bvar (\w+)=', 1) AS name, 1::BIGINT AS line FROM (SELECT page_id, {_SCRIPT} AS s FROM pages) WHERE regexp_matches(s, '\bvar \w+=')""")
+@_query(rf"""SELECT key, 'variable' AS kind, regexp_extract(s, '\bvar (\w+)=', 1) AS name, 1::BIGINT AS line FROM ({_SCRIPT}) WHERE regexp_matches(s, '\bvar \w+=')""")
 def q_symbol_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The symbols of every page's script, by the parser."""
     found = naming.symbols(facts(_scripts(spark, sf_dir), "key", "text"))
     return found.select("key", "kind", "name", F.col("line").cast("long").alias("line"))
 
 
-@_query(rf"""SELECT page_id AS key, kind, detail, score::BIGINT AS score FROM (SELECT page_id, {_SCRIPT} AS s FROM pages),
-    (VALUES ('binding', '', 0), ('symbol', 'variable', 0), ('vote', 'function', 3), ('use', '', 0), ('init', 'str', 3)) v(kind, detail, score) WHERE regexp_matches(s, '^var t="</p>";track\(\d+\);$')""")
+@_query(rf"""SELECT key, kind, detail, (score + 1000 * spot // length(s))::BIGINT AS score FROM ({_SCRIPT}),
+    (VALUES ('binding', '', 0, 4), ('symbol', 'variable', 0, 0), ('vote', 'function', 3, 0), ('use', '', 0, 13), ('init', 'str', 3, 0), ('decl', 'Literal', 0, 0)) v(kind, detail, score, spot) WHERE regexp_matches(s, '^var t="</p>";track\(\d+\);$')""")
 def q_source_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All facts of the scripts: one declared text and one call of a number."""
     found = facts(_scripts(spark, sf_dir), "key", "text")
@@ -524,31 +529,20 @@ def q_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("key", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@_query("SELECT page_id AS key, md5(replace(s, ';', ';' || chr(10))) AS digest FROM (SELECT page_id, " + _SCRIPT + " AS s FROM pages)")
+@_query(f"SELECT key, md5(replace(s, ';', ';' || chr(10))) AS digest FROM ({_SCRIPT})")
 def q_beautify(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = beautify(_scripts(spark, sf_dir), "text")
     return done.select("key", F.md5(F.col("pretty").cast("binary")).alias("digest"))
 
 
-_WORDS_BY_PLACE = """(VALUES (1, 'filePath', 9), (2, 'encoding', 7), (3, 'callback', 7)) v(place, type, score)"""
-
-
-@_query(f"""SELECT l_suppkey, type, score FROM (SELECT DISTINCT l_suppkey, type, score FROM lineitem JOIN {_WORDS_BY_PLACE} ON place = l_linenumber) QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY score DESC, type) = 1""")
-def q_call_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Types by place, the best of each."""
-    table = F.broadcast(_rows(spark, [(1, "filePath", 9), (2, "encoding", 7), (3, "callback", 7)], "place int, type string, score int"))
-    hits = _t(spark, sf_dir, "lineitem").join(table, F.col("place") == F.col("l_linenumber")).select("l_suppkey", "type", "score")
-    return evidence.argmax(hits, ["l_suppkey"], "score", "type").select("l_suppkey", "type", "score")
-
-
-@_query(r"""WITH d AS (SELECT doc_id, text, regexp_extract(text, '[A-Za-z_$][A-Za-z0-9_$]*') AS name FROM documents), s AS (SELECT doc_id, name, text, instr(text, name) AS spot FROM d WHERE name <> ''),
-    p AS (SELECT doc_id, name, string_split(substr(text, 1, spot - 1), chr(10))[-1] AS head, array_to_string(string_split(substr(text, spot), chr(10))[1:8], chr(10)) AS tail FROM s)
-    SELECT doc_id, name, md5(substr(trim(head || tail, ' '), 1, 600)) AS digest FROM p""")
+@_query(rf"""WITH d AS (SELECT DISTINCT conv_id * 1000 + turn AS key, text, unnest(regexp_extract_all(text, '{ids.IDENTIFIER}')) AS name FROM conversations), s AS (SELECT *, instr(text, name) AS spot FROM d),
+    p AS (SELECT key, name, string_split(substr(text, 1, spot - 1), chr(10))[-1] AS head, array_to_string(string_split(substr(text, spot), chr(10))[1:8], chr(10)) AS tail FROM s)
+    SELECT key, name, md5(substr(trim(head || tail, ' '), 1, 600)) AS digest FROM p""")
 def q_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines from each document's first identifier on, as a namer is shown them."""
-    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
-    rest = docs.select("key", F.regexp_extract("text", ids.IDENTIFIER, 0).alias("name")).where("name <> ''")
-    return namer.contexts(rest, docs).select(F.col("key").alias("doc_id"), "name", F.md5(F.col("context").cast("binary")).alias("digest"))
+    """The lines from the first place of every identifier of a turn on, as a namer is shown them."""
+    c = _t(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), "text")
+    rest = text.tokens(c, "key", "text").select("key", "name").distinct()
+    return namer.contexts(rest, c).select("key", "name", F.md5(F.col("context").cast("binary")).alias("digest"))
 
 
 @_query()
@@ -580,8 +574,11 @@ def q_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from factloom.plans import programs  # noqa: F401 - registers its queries
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_sql)

@@ -5,21 +5,26 @@ Rows: key, ordinal, kind, name, detail, score, line.  Kinds:
 ``symbol`` (detail: its kind) · ``binding`` · ``init`` (detail: candidate) · ``vote`` (detail: type) ·
 ``event`` (detail: event) · ``member`` and ``destruct`` (detail: property) · ``arg`` (detail: function,
 score: place) · ``returns`` (detail: type, score: weight) · ``link`` (detail: alias) · ``typed`` (detail: type) ·
-``late`` (detail: a candidate for names without evidence, score: phase) · ``derive`` (detail: a source's name and
+``decl`` (detail: how a declared variable begins) · ``late`` (detail: a candidate for names without evidence, score: phase) · ``derive`` (detail: a source's name and
 what is put behind its new name, score: phase) · ``edge`` (detail: the other name) · ``use`` · ``error`` (detail: why the text is no program).
+
+An ``arg``'s function is a name, ``object.method``, or ``.method`` of anything else.  The score of ``use`` and
+``binding`` is the place in the text, in thousandths of its length.
 """
 
 from __future__ import annotations
 
 import bisect
+import sys
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions import rules
-from factloom.sources.initializers import builder_name, camel, constant_of, enum_member, hint, is_text, lower_first, member_of, name_of, upper_first
-from factloom.sources.javascript import SourceError, lines_before, parse, walk
+from factloom.functions import rules, tables
+from factloom.plans.scratch import bound_batches, cut
+from factloom.sources.initializers import builder_name, camel, constant_of, enum_member, factory_name, helper_name, hint, is_text, lower_first, member_of, name_of, upper_first
+from factloom.sources.javascript import SourceError, lines_before, parse, split_statements, walk
 
 Fact = tuple[str, str, str, int, int]
 
@@ -28,9 +33,6 @@ _BITWISE = {"&", "|", "^", "<<", ">>", ">>>"}
 _ORDER = {"<", ">", "<=", ">="}
 _EQUAL = {"==", "!=", "===", "!=="}
 _FUNCTIONS = ("FunctionDeclaration", "FunctionExpression", "ArrowFunctionExpression")
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-#: Rows of texts in one batch handed to a worker; the default of 10,000 long texts would not fit.
-BATCH_ROWS = 256
 
 
 def _of_type(n: dict | None) -> str | None:
@@ -49,24 +51,30 @@ def _of_type(n: dict | None) -> str | None:
 
 
 class _Facts:
-    def __init__(self, source: str):
+    def __init__(self, source: str, line: int = 0, place: int = 0, size: int | None = None):
         self.rows: list[Fact] = []
         self.ends = lines_before(source)
-        self.line = 1
+        self.size = max(1, len(source) if size is None else size)
+        self.first_line, self.first_place = line + 1, place
+        self.line, self.place = 1, 0
 
     def add(self, kind: str, name: str | None, detail: str = "", score: int = 0) -> None:
         if name:
-            self.rows.append((kind, name, detail, score, self.line))
+            self.rows.append((kind, name, detail, self.place if kind in ("use", "binding") else score, self.line))
 
     def run(self, root: dict) -> list[Fact]:
+        visits = {name[2:]: getattr(self, name) for name in dir(self) if name.startswith("v_")}
         for node, is_use in walk(root):
-            self.line = bisect.bisect_left(self.ends, node["start"]) + 1
-            visit = getattr(self, "v_" + node["type"], None)
-            if node["type"] == "Identifier":
-                if is_use:
-                    self.add("use", node["name"])
-            elif visit:
+            kind = node["type"]
+            visit = visits.get(kind)
+            if not visit and not (is_use and kind == "Identifier"):
+                continue
+            start = node["start"]
+            self.line, self.place = bisect.bisect_left(self.ends, start) + self.first_line, 1000 * (start + self.first_place) // self.size
+            if visit:
                 visit(node)
+            else:
+                self.add("use", node["name"])
         return self.rows
 
     def vote(self, node: dict | None, kind: str, score: int) -> None:
@@ -108,7 +116,7 @@ class _Facts:
     def v_ClassDeclaration(self, n: dict) -> None:
         self.v_ClassExpression(n)
         methods = [name_of(m["key"]) for m in n["body"]["body"] if m["type"] == "MethodDefinition"]
-        role = next((rules.CLASS_ROLES[m] for m in methods if m in rules.CLASS_ROLES), None)
+        role = next((tables.CLASS_ROLES[m] for m in methods if m in tables.CLASS_ROLES), None)
         base = name_of(n["superClass"])
         name = n["id"] and n["id"]["name"]
         self.add("binding", name)
@@ -135,10 +143,11 @@ class _Facts:
         for s in n["specifiers"]:
             self.add("binding", name_of(s["local"]))
             told = name_of(s.get("imported")) if s["type"] == "ImportSpecifier" else None
-            if told and len(told) >= 4:
+            module = rules.module_name(n["source"]["value"]) if s["type"] != "ImportSpecifier" and is_text(n["source"]) else None
+            if told and len(told) >= 3 and told not in rules.PLAIN_IMPORTS:
                 self.add("init", s["local"]["name"], told, 7)
-            elif not told and is_text(n["source"]):
-                self.add("init", s["local"]["name"], "mod_" + "".join(c if c.isalnum() else "_" for c in n["source"]["value"].split("/")[-1])[:20], 8)
+            elif module:
+                self.add("init", s["local"]["name"], module, 8)
 
     def v_CatchClause(self, n: dict) -> None:
         self.add("binding", name_of(n["param"]))
@@ -151,6 +160,7 @@ class _Facts:
         if name:
             self.add("symbol", name, "function" if init and init["type"] in _FUNCTIONS else "variable")
             self.add("binding", name)
+            self.add("decl", name, self.begins(init))
             if init and init["type"] in _FUNCTIONS:
                 self.returns(name, init)
             self.given(name, init, True)
@@ -159,19 +169,34 @@ class _Facts:
                     self.edges(target, a, 2)
             return
         self.vote(init, "array" if target["type"] == "ArrayPattern" else "object", 5 if target["type"] == "ArrayPattern" else 4)
+        self.taken(target, init)
         for p in target.get("properties", []):
             key = (name_of(p["key"]) or (p["key"]["value"] if is_text(p["key"]) else None)) if p["type"] == "Property" and not p["computed"] else None
-            if key and len(key) >= 3:
-                self.add("destruct", name_of(init), key)
             alias = name_of(p["value"]) if key else None
             if alias and alias != key and len(key) >= 4:
                 self.add("binding", alias)
                 if key not in rules.PLAIN_PROPERTIES:
                     self.add("init", alias, key, 7)
 
+    def begins(self, init: dict | None) -> str:
+        """The kind of an initializer, with what is called."""
+        if not init:
+            return "none"
+        called = init["type"] == "CallExpression" and (name_of(init["callee"]) or member_of(init["callee"])[1])
+        return f"Call:{called}" if called else init["type"]
+
+    def taken(self, target: dict, source: dict | None) -> None:
+        """Properties that a pattern takes out of a name."""
+        for p in target.get("properties", ()):
+            if p["type"] == "Property" and not p["computed"]:
+                key = name_of(p["key"]) or ""
+                self.add("destruct", name_of(source) if len(key) >= 3 else None, key)
+
     def v_AssignmentExpression(self, n: dict) -> None:
         left, right = n["left"], n["right"]
         name = name_of(left)
+        if left["type"] == "ObjectPattern":
+            self.taken(left, right)
         if name and n["operator"] == "=":
             self.add("binding", name)
             self.given(name, right, False)
@@ -196,8 +221,8 @@ class _Facts:
             self.add("link", name, value["name"], score)
         elif kind == "MemberExpression":
             prop = member_of(value)[1]
-            if prop in self.props:
-                self.add("typed", name, *self.props[prop])
+            if prop in tables.ALIAS_PROPERTIES:
+                self.add("typed", name, *tables.ALIAS_PROPERTIES[prop])
             if declared:
                 self.add("link", name, name_of(value["object"]) or "", 3) if name_of(value["object"]) else None
         elif kind in ("LogicalExpression", "ConditionalExpression"):
@@ -232,7 +257,12 @@ class _Facts:
             if told:
                 self.add("late", name, told + "Cmd", 13)
             if kind == "CallExpression":
+                told = factory_name(value) if declared else None
+                self.add("late", name if told else None, told or "", 7)
                 self.later_call(name, value, declared)
+        if declared and kind in ("CallExpression", "LogicalExpression"):
+            told = helper_name(value)
+            self.add("late", name if told else None, told or "", 15)
 
     def later_call(self, name: str, value: dict, declared: bool) -> None:
         callee, first = value["callee"], (value["arguments"] or [None])[0]
@@ -265,7 +295,7 @@ class _Facts:
             if n["type"] == "ReturnStatement":
                 kind = _of_type(n["argument"])
                 if n["argument"] and n["argument"]["type"] == "NewExpression":
-                    kind = rules.INSTANCE_TYPES.get(name_of(n["argument"]["callee"]) or "")
+                    kind = tables.INSTANCE_TYPES.get(name_of(n["argument"]["callee"]) or "")
                 if kind:
                     self.add("returns", name, kind, 3)
                 continue
@@ -285,7 +315,8 @@ class _Facts:
     def v_CallExpression(self, n: dict) -> None:
         callee, args = n["callee"], n["arguments"]
         self.vote(callee, "function", 3)
-        called = name_of(callee) or member_of(callee)[1]
+        obj, method = member_of(callee)
+        called = name_of(callee) or (f"{obj or ''}.{method}" if method else None)
         if args and is_text(args[0]) and args[0]["value"] in rules.EVENTS:
             for a in args[1:3]:
                 self.add("event", name_of(a), args[0]["value"], 9)
@@ -297,6 +328,12 @@ class _Facts:
         if args:
             self.edges(callee, args[0], 3)
 
+    def v_SwitchStatement(self, n: dict) -> None:
+        words = [c["test"]["value"] for c in n["cases"] if c["test"] and is_text(c["test"])][:12]
+        told = rules.switch_type(words)
+        if told:
+            self.vote(n["discriminant"], *told)
+
     def v_NewExpression(self, n: dict) -> None:
         self.vote(n["callee"], "ctor", 5)
 
@@ -312,7 +349,7 @@ class _Facts:
             elif op in _EQUAL:
                 self.equal(one, other)
         if op == "instanceof" and name_of(b):
-            known = rules.INSTANCE_TYPES.get(b["name"])
+            known = tables.INSTANCE_TYPES.get(b["name"])
             if known:
                 self.vote(a, known, 8)
             else:
@@ -321,7 +358,7 @@ class _Facts:
 
     def equal(self, one: dict, other: dict) -> None:
         if one["type"] == "UnaryExpression" and one["operator"] == "typeof" and is_text(other):
-            known = rules.TYPEOF_TYPES.get(other["value"])
+            known = tables.TYPEOF_TYPES.get(other["value"])
             if known:
                 self.vote(one["argument"], known, 7)
         elif name_of(other) == "undefined" or (other["type"] == "Literal" and other["value"] is None and other.get("regex") is None):
@@ -375,34 +412,100 @@ class _Facts:
             self.vote(e, "string", 2)
 
 
-def facts_of(source: str) -> list[Fact]:
-    """The facts of one text; a text that is no program gives one ``error``."""
+def facts_of(source: str, line: int = 0, place: int = 0, size: int | None = None) -> list[Fact]:
+    """The facts of one text; a text that is no program gives one ``error``.
+
+    Nested expressions may be as deep as the text is long.  ``line``, ``place``
+    and ``size``: where a part of a longer text lies, and the whole's length.
+    """
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(before, 10_000 + 20 * len(source)))
     try:
-        return _Facts(source).run(parse(source))
-    except (SourceError, RecursionError) as e:
+        return _Facts(source, line, place, size).run(parse(source))
+    except SourceError as e:
         return [("error", "", str(e) or type(e).__name__, 0, 0)]
+    finally:
+        sys.setrecursionlimit(before)
+
+
+#: Longer texts are split between statements, into parts of about a fourth of this, so that one program is parsed by many tasks.
+SPLIT_CHARS = 1 << 20
+
+_FACT = "ordinal int, kind string, name string, detail string, score int, line int"
 
 
-def facts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """The facts of all texts; null is an empty text.  Texts are parsed one at a time, in batches of ``BATCH_ROWS`` or fewer."""
+def _rows(keys, sources, parts=None):
+    """Batches of facts of texts, one text at a time; ``parts``: (number, line, place, size) of each, if they are parts."""
     import pyarrow as pa
 
-    kind, conf = dict(df.dtypes)[key], df.sparkSession.conf
-    if not 0 < int(conf.get(ARROW_ROWS, "10000")) <= BATCH_ROWS:
-        conf.set(ARROW_ROWS, str(BATCH_ROWS))
+    for k, source in enumerate(sources):
+        number, *where = parts[k] if parts else (None, 0, 0, None)
+        rows = facts_of(source.as_py() or "", *where)
+        for at in range(0, len(rows), 50_000):
+            part = rows[at : at + 50_000]
+            columns = list(zip(*part, strict=True))
+            arrays = [
+                pa.array([keys[k].as_py()] * len(part), keys.type), pa.array(range(at, at + len(part)), pa.int32()),
+                *(pa.array(c, pa.string()) for c in columns[:3]), *(pa.array(c, pa.int32()) for c in columns[3:]),
+            ]
+            names = ["key", "ordinal", "kind", "name", "detail", "score", "line"]
+            if parts:
+                arrays.append(pa.array([number] * len(part), pa.int32()))
+                names.append("part")
+            yield pa.RecordBatch.from_arrays(arrays, names)
+
+
+def _whole(batches: Iterator) -> Iterator:
+    for batch in batches:
+        yield from _rows(batch.column(0), batch.column(1))
+
+
+def _splitter(size: int):
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0)
             for k, source in enumerate(batch.column(1)):
-                rows = facts_of(source.as_py() or "")
-                for at in range(0, len(rows), 50_000):
-                    part = rows[at : at + 50_000]
-                    columns = list(zip(*part, strict=True))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([keys[k].as_py()] * len(part), keys.type), pa.array(range(at, at + len(part)), pa.int32()),
-                         *(pa.array(c, pa.string()) for c in columns[:3]), *(pa.array(c, pa.int32()) for c in columns[3:])],
-                        ["key", "ordinal", "kind", "name", "detail", "score", "line"],
-                    )
-
-    return df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, ordinal int, kind string, name string, detail string, score int, line int")
+                text = source.as_py()
+                cuts = [0, *split_statements(text, size), len(text)]
+                line = 0
+                for n, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                    columns = [pa.array([keys[k].as_py()], keys.type), pa.array([n], pa.int32()), pa.array([line], pa.int32()), pa.array([a], pa.int64()), pa.array([len(text)], pa.int64()), pa.array([text[a:b]])]
+                    yield pa.RecordBatch.from_arrays(columns, ["key", "part", "before", "place", "size", "text"])
+                    line += text.count("\n", a, b)
+
+    return run
+
+
+def _parts(batches: Iterator) -> Iterator:
+    for batch in batches:
+        where = list(zip(*(batch.column(c).to_pylist() for c in ("part", "before", "place", "size")), strict=True))
+        yield from _rows(batch.column("key"), batch.column("text"), where)
+
+
+def facts(df: DataFrame, key: str, text: str, split: int = SPLIT_CHARS) -> DataFrame:
+    """The facts of all texts; null is an empty text.  Texts are parsed one at a time, in bounded batches.
+
+    Texts of more than ``split`` characters are dealt to many tasks in parts of
+    whole statements; one of which a part is no program is parsed as a whole.
+    """
+    kind = dict(df.dtypes)[key]
+    bound_batches(df.sparkSession)
+    sources = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    schema = f"key {kind}, {_FACT}"
+    long = sources.where(F.length("text") > split)
+    if df.isStreaming or long.isEmpty():
+        return sources.mapInArrow(_whole, schema)
+    found = sources.where(F.coalesce(F.length("text"), F.lit(0)) <= split).mapInArrow(_whole, schema)
+    parts = cut(long.mapInArrow(_splitter(max(1, split // 4)), f"key {kind}, part int, before int, place long, size long, text string"), "parts")
+    tasks = max(1, parts.count())
+    dealt = parts.repartitionByRange(min(tasks, 10_000), F.xxhash64("key", "part"))
+    each = cut(dealt.mapInArrow(_parts, f"{schema}, part int"), "part-facts")
+    bad = cut(each.where("kind = 'error'").select("key").distinct(), "bad")
+    sizes = each.groupBy("key", "part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = cut(sizes.select("key", "part", before.cast("int").alias("start")), "starts")
+    good = each.join(F.broadcast(bad), "key", "left_anti").join(starts, ["key", "part"])
+    good = good.select("key", (F.col("ordinal") + F.col("start")).alias("ordinal"), "kind", "name", "detail", "score", "line")
+    return found.unionByName(good).unionByName(long.join(F.broadcast(bad), "key", "left_semi").mapInArrow(_whole, schema))

@@ -12,12 +12,15 @@ import sys
 
 Node = dict
 
-_SPACE = re.compile(r"(?:[\s\ufeff]+|//[^\n\r]*|/\*[\s\S]*?\*/)*")
+_SPACE = r"(?:[\s\ufeff]+|//[^\n\r]*|/\*[\s\S]*?\*/)*"
+_GAP = re.compile(_SPACE)
+#: The gap before a token and the token, in one match.
 _TOKEN = re.compile(
+    rf"(?P<gap>{_SPACE})(?:"
     r"(?P<name>#?(?:[^\W\d]|\$|\\u[\da-fA-F]{4})(?:[\w$\u200c\u200d]|\\u[\da-fA-F]{4})*)"
     r"|(?P<num>0[xX][\da-fA-F_]+n?|0[bB][01_]+n?|0[oO][0-7_]+n?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?n?)"
     r"|(?P<str>\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*')"
-    r"|(?P<punct>>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*|[{}()\[\];,<>+\-*/%&|^!~?:=.`@])"
+    r"|(?P<punct>>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*|[{}()\[\];,<>+\-*/%&|^!~?:=.`@]))"
 )
 _REGEX = re.compile(r"/(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[A-Za-z]*")
 _QUASI = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*")
@@ -67,23 +70,30 @@ class _Parser:
 
     def scan(self) -> tuple[int, re.Match | None]:
         """Place and match of the token behind ``end``; what was seen last is kept, as most tokens are peeked at."""
-        if self.seen[0] != self.end:
-            at = _SPACE.match(self.source, self.end).end()
-            self.seen = (self.end, at, _TOKEN.match(self.source, at))
+        end = self.end
+        if self.seen[0] != end:
+            m = _TOKEN.match(self.source, end)
+            self.seen = (end, _GAP.match(self.source, end).end(), None) if m is None else (end, m.end(1), m)
         return self.seen[1:]
 
     def step(self) -> None:
         """Read the next token."""
-        self.last = self.end
-        at, m = self.scan()
-        self.newline = at > self.end and ("\n" in self.source[self.end : at] or "\r" in self.source[self.end : at])
+        end = self.last = self.end
+        seen = self.seen
+        _, at, m = seen if seen[0] == end else (end, *self.scan())
+        if at > end:
+            gap = self.source[end:at]
+            self.newline = "\n" in gap or "\r" in gap
+        else:
+            self.newline = False
         self.start = at
-        if at >= len(self.source):
+        if m is None:
+            if at < len(self.source):
+                raise SourceError(f"unexpected character at {at}")
             self.kind, self.value, self.end = "eof", "", at
             return
-        if m is None:
-            raise SourceError(f"unexpected character at {at}")
-        self.kind, self.value, self.end = m.lastgroup, m[0], m.end()
+        kind = self.kind = m.lastgroup
+        self.value, self.end = m[kind], m.end()
 
     def node(self, type_: str, start: int, **fields) -> Node:
         return {"type": type_, "start": start, "end": self.last, **fields}
@@ -109,7 +119,7 @@ class _Parser:
         """Kind and text of the token after this one, and whether a line ends before it."""
         at, m = self.scan()
         gap = self.source[self.end : at]
-        return (m.lastgroup, m[0], "\n" in gap) if m else ("eof", "", "\n" in gap)
+        return (m.lastgroup, m[m.lastgroup], "\n" in gap) if m else ("eof", "", "\n" in gap)
 
     # Statements
 
@@ -705,6 +715,77 @@ def parse(source: str) -> Node:
     return _Parser(source).program()
 
 
+_MARKS = re.compile(r"\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*'|//[^\n\r]*|/\*[\s\S]*?\*/|[`/]|[{}()\[\];]+")
+_WORD_END = re.compile(r"[\w$]+$")
+_BEFORE_REGEX = {"return", "typeof", "case", "in", "of", "delete", "void", "throw", "new", "else", "do", "instanceof", "yield", "await"}
+#: How a statement goes on behind a semicolon.
+_GOES_ON = re.compile(r"\s*(?:else|while)\b")
+
+
+def _is_regex(source: str, at: int) -> bool:
+    """Whether a slash begins a regular expression, by what is before it."""
+    before = source[max(0, at - 40) : at].rstrip()
+    if not before or before[-1] in ")]}\"'`":
+        return not before
+    word = _WORD_END.search(before)
+    return word is None or word[0] in _BEFORE_REGEX
+
+
+def split_statements(source: str, size: int) -> list[int]:
+    """Places between statements of the program, each at least ``size`` behind the one before.
+
+    Only brackets, strings, comments and slashes are looked at.  A slash can be
+    misread, so what is between two places must be parsed to be sure.
+    """
+    found: list[int] = []
+    last = depth = at = 0
+    templates: list[int] = []  # depths of the templates that are open
+    changes: dict[str, tuple[int, int]] = {}  # of a run of brackets: the depth's change, and its lowest
+
+    def template(at: int) -> int:
+        """Behind a template's text: its end, or the expression in it."""
+        nonlocal depth
+        at = _QUASI.match(source, at).end()
+        if source.startswith("${", at):
+            templates.append(depth)
+            depth += 1
+            return at + 2
+        return at + 1
+
+    while (m := _MARKS.search(source, at)) is not None:
+        text, at = m[0], m.end()
+        first = text[0]
+        if first == "`":
+            at = template(at)
+        elif text == "/":
+            if _is_regex(source, m.start()) and (r := _REGEX.match(source, m.start())):
+                at = r.end()
+        elif first in "{}()[];":
+            told = changes.get(text)
+            if told is None:
+                now = low = 0
+                for c in text:
+                    now += 1 if c in "{([" else -1 if c in "})]" else 0
+                    low = min(low, now)
+                told = changes[text] = (now, low)
+            if depth + told[1] > (templates[-1] + 1 if templates else 0):
+                depth += told[0]
+                continue
+            for k, c in enumerate(text):
+                if c in "{([":
+                    depth += 1
+                elif c in "})]":
+                    depth -= 1
+                    if templates and depth == templates[-1]:
+                        templates.pop()
+                        at = template(m.start() + k + 1)
+                        break
+                elif depth == 0 and m.start() + k + 1 - last >= size and not _GOES_ON.match(source, m.start() + k + 1):
+                    last = m.start() + k + 1
+                    found.append(last)
+    return found if depth == 0 and not templates else []
+
+
 def lines_before(source: str) -> list[int]:
     """Places of all line ends, to number lines by bisection."""
     return [m.start() for m in re.finditer(r"\n", source)]
@@ -714,35 +795,52 @@ def lines_before(source: str) -> list[int]:
 _TARGETS = {"left", "id", "param", "params", "local"}
 
 
+#: Fields without nodes, or with names that are neither uses nor targets.
+_PLAIN = {"type", "start", "end", "name", "operator", "kind", "label", "imported", "exported", "computed", "optional", "async", "generator", "static", "shorthand", "regex", "quasis", "prefix", "delegate"}
+_plans: dict[tuple[str, bool, int], list[tuple[str, int]]] = {}
+
+
+def _plan(node: Node) -> list[tuple[str, int]]:
+    """The fields of a kind of node that may hold others, in order, and whether these are targets: 0 no, 1 yes, 2 as the node itself."""
+    kind, found = node["type"], []
+    for field in node:
+        if field in _PLAIN or (field in ("property", "key") and not node.get("computed")):
+            continue
+        if field == "left" and kind in ("BinaryExpression", "LogicalExpression"):
+            into = 0
+        elif field in _TARGETS or kind in ("ArrayPattern", "ObjectPattern", "RestElement"):
+            into = 1
+        else:
+            into = 2 if field == "value" and kind == "Property" else 0
+        found.append((field, into))
+    return found
+
+
 def walk(root: Node):
     """(node, is_use) for all nodes, children before their parent; names in patterns, keys and labels are no uses.
 
-    Without recursion, so that long chains do no harm.
+    Without recursion, so that long chains do no harm: parents are listed
+    before their children, the last child first, and the list is read backwards.
     """
-    stack = [(root, False, False)]
+    stack = [(root, False)]
+    listed = []
     while stack:
-        node, target, done = stack.pop()
-        if done:
-            yield node, not target
-            continue
-        stack.append((node, target, True))
-        kind = node["type"]
-        children = []
-        for field, value in node.items():
-            if value.__class__ is not dict and value.__class__ is not list:
-                continue
-            if field in ("property", "key") and not node.get("computed") or field in ("label", "imported", "exported"):
-                continue
-            if field == "left" and kind in ("BinaryExpression", "LogicalExpression"):
-                into = False
-            elif field in _TARGETS or (kind in ("ArrayPattern", "ObjectPattern", "RestElement")):
-                into = True
-            elif field == "value" and kind == "Property":
-                into = target
-            else:
-                into = False
-            if isinstance(value, dict):
-                children.append((value, into, False))
-            elif isinstance(value, list):
-                children.extend((x, into, False) for x in value if isinstance(x, dict))
-        stack.extend(reversed(children))
+        one = stack.pop()
+        listed.append(one)
+        node, target = one
+        key = (node["type"], node.get("computed", False), len(node))
+        plan = _plans.get(key)
+        if plan is None:
+            plan = _plans[key] = _plan(node)
+        for field, into in plan:
+            value = node[field]
+            kind = value.__class__
+            if kind is dict:
+                stack.append((value, target if into == 2 else into == 1))
+            elif kind is list:
+                into = target if into == 2 else into == 1
+                for x in value:
+                    if x.__class__ is dict:
+                        stack.append((x, into))
+    for node, target in reversed(listed):
+        yield node, not target

@@ -6,11 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.operators import namer, naming
-from factloom.plans.recover import recover, rename_texts
+from factloom.plans.recover import Options, benchmark, name_all, recover, rename_texts
 from factloom.sources import files
 from factloom.sources.beautify import layout, pieces
 from factloom.sources.facts import facts, facts_of
-from factloom.sources.javascript import SourceError, parse, walk
+from factloom.sources.javascript import SourceError, parse, split_statements, walk
 from factloom.streaming import ingest
 
 PROGRAMS = [
@@ -40,6 +40,37 @@ def test_no_program_is_one_error(source):
 def test_deep_and_long_programs():
     assert sum(1 for _ in walk(parse("x=" + "+".join(["a"] * 5000)))) > 10_000
     parse("(" * 1000 + "a" + ")" * 1000)
+    deep = facts_of('var ab="/init";x=' + "(" * 30_000 + "1" + ")" * 30_000)
+    assert ("init", "ab", "CMD_INIT", 10, 1) in deep and not [r for r in deep if r[0] == "error"]
+    chain = facts_of("var ab=" + "cc=" * 500 + "new Map()")
+    assert ("init", "ab", "map", 9, 1) in chain
+
+
+PIECES = [
+    'var %s=R(()=>{x={y:1};var a="b;}{",c=`t${d({e:`u;`})}`;if(a/b/2>1)return /[/};]x/.test(q);f(a);});', "function %s(a,b){for(var i=0;i<a;i++){b.push(i);}return b.map(c=>c/2)}",
+    "if(%s)b();else c();", "do %s();while(x);", "%s.a=new Map(),q=/re;/g;", "class %s extends B{m(){return`x`}};", "// %s;\n/*;*/x;",
+]
+
+
+def test_parts_of_a_program_have_the_facts_of_the_whole(spark):
+    source = "".join(PIECES[k % len(PIECES)] % f"v{k % 50}" + "\n" * (k % 3) for k in range(400))
+    cuts = [0, *split_statements(source, 500), len(source)]
+    assert len(cuts) > 20
+    found, line = [], 0
+    for a, b in zip(cuts, cuts[1:]):
+        found += facts_of(source[a:b], line, a, len(source))
+        line += source.count("\n", a, b)
+    assert found == facts_of(source)
+    # a program that cannot be split, one that is none, one whose parts are none, and a short one
+    misread = "x=a" + "+1" * 3000 + ";y=(b)/c;/d/g;" * 3 + "if(a)" + "b();" * 2000 + "var zz;"
+    rows = [(1, source), (2, "f(" + source[:3000].replace("class", "") + ")"), (3, "var q=1;" * 1000 + "}"), (4, "var ok=1"), (5, None), (6, misread)]
+    df = spark.createDataFrame(rows, "k int, t string")
+    got = {}
+    for r in facts(df, "k", "t", split=4000).collect():
+        got.setdefault(r["key"], []).append((r["ordinal"], (r["kind"], r["name"], r["detail"], r["score"], r["line"])))
+    for k, t in rows:
+        assert [f for _, f in sorted(got.get(k, []))] == facts_of(t or ""), k
+        assert [o for o, _ in sorted(got.get(k, []))] == list(range(len(got.get(k, []))))
 
 
 def test_patterns_are_no_uses():
@@ -112,6 +143,46 @@ def test_answers_and_rounds(spark):
     assert [r["m"] for r in pairs] == [{"ab": "x"}, {"ab": "y"}]
 
 
+def test_rounds_until_enough_and_passes(spark):
+    rest = spark.createDataFrame([(f"n{k}", f"n{k} = tokenizer{chr(97 + k)}()") for k in range(6)], "name string, context string")
+    merged = spark.createDataFrame([("q", "taken")], "key string, value string")
+    assert namer.fill_until(rest, merged, 90).count() == 7 and namer.fill_until(rest, merged, 10).count() == 1
+    sources = spark.createDataFrame([(1, "var ab; serializer(ab); ab()"), (2, "var ab; tokenizer(ab); var cd")], "key int, text string")
+    left = spark.createDataFrame([(1, "ab", 2), (2, "ab", 1), (2, "cd", 0)], "key int, name string, n long")
+
+    def shy(prompt):
+        return "{}" if prompt.startswith(namer.STRICT) and "tokenizer" in prompt else namer.plain_namer(prompt)
+
+    got = {(r["key"], r["name"], r["pass"]): r["candidate"] for r in namer.name_rest(left, sources, shy, passes=2).collect()}
+    assert got == {(1, "ab", 1): "serializerCtx", (2, "ab", 2): "tokenizerCtx", (2, "cd", 2): "tokenizerCtx"}
+    assert {(r["key"], r["name"]) for r in namer.name_rest(left, sources, most=1).collect()} == {(1, "ab"), (2, "ab")}
+    assert [r["name"] for r in naming.priorities(left).orderBy("key", "place").collect()] == ["ab", "ab", "cd"]
+
+
+def test_models_and_profiles():
+    assert namer.profile("some-opus-1").batch == 50 and namer.profile("gpt-4o-mini").batch == 30 and namer.profile("gpt-4o").batch == 60 and namer.profile("").batch == 10
+    assert namer.choose_model(["b", "a-sonnet"], ["opus", "sonnet"]) == "a-sonnet" and namer.choose_model(["b"], ["opus"]) == "b" and namer.choose_model([], ["x"]) is None
+
+
+def test_namer_and_graph_take_what_is_left(spark):
+    sources = spark.createDataFrame([(1, 'var ab="/init";var zq;synchronizer(zq);var kk;ff(ab,kk);ff(ab,kk);gg(kk)')], "key int, text string")
+    found = facts(sources, "key", "text").persist()
+    plain = {r["mangled"]: r["origin"] for r in name_all(found, sources).collect()}
+    assert plain == {"ab": "static"}
+    both = {r["mangled"]: r["origin"] for r in name_all(found, sources, options=Options(namer=namer.plain_namer, most=1, graph=True)).collect()}
+    assert both["ab"] == "static" and "llm" in both.values() and set(both.values()) <= {"static", "llm", "graph"}
+    told = benchmark(sources, options=Options(namer=namer.plain_namer)).first()
+    assert (told["bindings"], told["static"], told["llm"], told["uncertain"]) == (3, 1, 2, 0)
+
+
+def test_histogram_of_beginnings(spark):
+    found = facts(spark.createDataFrame([(1, "var a1=f1(),b1=f1(),c1=x.g1(),d1,e1=2")], "k int, t string"), "k", "t").persist()
+    got = {r["kind"]: (r["n"], r["sample"]) for r in naming.init_histogram(found).collect()}
+    assert got == {"Call:f1": (2, "a1"), "Call:g1": (1, "c1"), "none": (1, "d1"), "Literal": (1, "e1")}
+    named = spark.createDataFrame([(1, "a1")], "key int, mangled string")
+    assert [(r["kind"], r["n"]) for r in naming.top_calls(naming.init_histogram(found, named)).collect()] == [("Call:f1", 1), ("Call:g1", 1)]
+
+
 def test_occurrences_prefer_telling_places(spark):
     sources = spark.createDataFrame([(1, "ab; x = ab.c"), (2, "abc")], "key int, text string")
     rest = spark.createDataFrame([(1, "ab"), (2, "ab")], "key int, name string")
@@ -133,13 +204,32 @@ def test_whole_run_from_files_and_a_stream(spark, tmp_path):
     folder.mkdir()
     (folder / "a.js").write_text('#!/usr/bin/env node\nvar ab="/init";var cd=ab;')
     (folder / "b.js").write_text("var x1=R(()=>{y={z:1}});")
-    (tmp_path / "seeds.json").write_text('{"q": "w"}')
+    (tmp_path / "seeds.json").write_text('{\n  "q": "w"\n}')
     sources = files.read_sources(spark, str(folder))
-    r = recover(sources, files.read_seeds(spark, str(tmp_path / "seeds.json")))
+    assert sources.count() == 2
+    seeds = files.read_seeds(spark, str(tmp_path / "seeds.json"))
+    r = recover(sources, seeds)
     text = {x["key"].rsplit("/", 1)[1]: x["text"] for x in r.renamed.collect()}
     assert text["a.js"] == 'var CMD_INIT="/init";\nvar CMD_INIT_2=CMD_INIT;\n'
     report = {x["key"].rsplit("/", 1)[1]: x for x in r.report.collect()}
     assert report["b.js"]["bundler"] == "copilot" and report["a.js"]["symbols"] == 2 and report["a.js"]["renamed"] == 2
     assert files.symbol_documents(r.symbols).count() == 2
+    assert report["a.js"]["tool"] == "factloom" and report["a.js"]["duration_ms"] >= 0 and report["a.js"]["passes"][0] == "beautify"
+    assert "2 sources" in files.summary(r.report, r.stats)
+    docs = files.documents(r.renamed, files.rename_json(r.renames), files.last_modules(r.modules), files.symbol_documents(r.symbols), files.report_json(r.report))
+    files.write_files(docs, str(tmp_path / "files"))
+    assert (tmp_path / "files" / "a" / "a.renamed.js").read_text() == text["a.js"] and (tmp_path / "files" / "b" / "modules" / "x1.js").exists()
+    assert json.loads((tmp_path / "files" / "a" / "report.json").read_text())["stats"]["renamed"] == 2
+    assert len(list((tmp_path / "files").rglob("*.*"))) == docs.count()
+    (tmp_path / "batch.json").write_text('[{"name": "ab", "context": ["x", "y"]}, {"name": "cd"}]')
+    assert [(x["name"], x["context"]) for x in files.read_batches(spark, str(tmp_path / "batch.json")).orderBy("ordinal").collect()] == [("ab", ["x", "y"]), ("cd", [])]
+    merged = files.read_merged(spark, str(tmp_path / "seeds.json"))
+    assert [(x["key"], x["value"]) for x in merged.collect()] == [("q", "w")]
+    assert files.add_seeds(seeds, spark.createDataFrame([("q", "z"), ("r", "s")], "key string, value string")).count() == 2
+    assert files.names_json(merged).first()["json"] == '{"q":"w"}'
+    (tmp_path / "rules.json").write_text('{"frobnicate": ["gizmo", 9]}')
+    extra = files.read_property_rules(spark, str(tmp_path / "rules.json"))
+    found = facts(spark.createDataFrame([(1, "var ab;ab.frobnicate")], "k int, t string"), "k", "t")
+    assert naming.rename_map(found, extra=extra).first()["semantic"] == "gizmo"
     ingest.write_facts(ingest.stream_sources(spark, str(folder)), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).where("kind = 'symbol'").count() == 3
