@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and returns the documents it keeps,
 with the columns of ``docs``; the last returns packed pieces.
+
+Defined cases, as in the operators: a null text is empty, gets its score and is
+packed as one end token; of equal rows one stays; rows with null ids stay
+unless their text goes; empty tables give no rows, and without labels or
+benchmark items nothing is rejected for them; extra columns are kept, whatever
+their names, until the last stage.
 """
 
 from __future__ import annotations
