@@ -173,7 +173,7 @@ def pattern_contexts(text: Column, name: Column, most: int = 100) -> Column:
         F.concat(F.lit("("), word, F.lit(r"\([^\n]{0,80})")),
         F.concat(F.lit("("), word, F.lit(r"\.[^\n]{0,80})")),
     )
-    found = F.array(*(F.substring(F.regexp_extract(text, p, 1), 1, most) for p in patterns))
+    found = F.array(*(F.substring(F.call_function("regexp_extract", text, p, F.lit(1)), 1, most) for p in patterns))
     return F.filter(found, lambda x: x != "")
 
 
