@@ -243,6 +243,47 @@ PLAIN_PROPERTIES = (
     "toString", "valueOf", "toJSON", "assign", "create", "from", "of", "all", "race", "resolve", "reject", "any",
 )
 
+# Keys, methods and properties that say nothing about a lazy module or its class.
+MODULE_KEYS = (
+    "exports", "default", "index", "module", "string", "buffer", "object", "number", "length", "value", "values", "entries", "keys",
+    "items", "list", "array", "result", "middle", "state", "props", "config", "options", "context", "version", "source", "target",
+    "parent", "child", "current", "last", "first", "next", "prev", "self",
+)
+PLAIN_METHODS = (
+    "constructor", "toString", "valueOf", "render", "init", "setup", "update", "reset", "clear", "create", "destroy", "dispose",
+    "start", "stop", "run", "execute", "process", "handle",
+)
+
+# Properties whose value is not named after them.
+PLAIN_VALUES = (
+    "length", "prototype", "constructor", "toString", "valueOf", "default", "exports", "arguments", "caller", "name", "bind", "call",
+    "apply", "then", "catch", "finally", "next", "return", "throw", "done", "value", "get", "set", "has", "add", "delete", "clear",
+    "size", "keys", "values", "entries", "push", "pop", "shift", "unshift", "splice", "slice", "join", "map", "filter", "reduce",
+    "includes", "indexOf", "find", "findIndex", "some", "every", "flat", "flatMap", "sort",
+)
+
+# Keys of a pattern that say nothing about the name behind them.
+PLAIN_KEYS = (
+    "key", "val", "data", "type", "name", "node", "next", "prev", "self", "this", "base", "init", "temp", "item", "list", "args",
+    "opts", "prop", "attr", "spec", "info", "meta", "elem", "root", "head", "tail", "body", "text", "code", "size", "flag", "mode",
+    "kind", "path", "file", "part", "rest", "all", "any", "max", "min", "set", "get", "add", "has", "map",
+)
+
+# Members that many enumerations have.
+PLAIN_MEMBERS = (
+    "None", "All", "Default", "Unknown", "Error", "Warning", "Info", "Debug", "Success", "Failure", "Start", "End", "Begin", "Finish",
+    "On", "Off", "Yes", "No", "True", "False", "OK",
+)
+
+# Arrays of numbers that serve as tables.
+NUMBER_ARRAYS = (
+    "Uint8Array", "Uint16Array", "Uint32Array", "Int8Array", "Int16Array", "Int32Array", "Float32Array", "Float64Array",
+    "BigUint64Array", "BigInt64Array",
+)
+
+# Modules that very many others load.
+COMMON_MODULES = ("buffer", "util", "events", "stream", "string_decoder")
+
 # Imported names that say nothing about a name.
 PLAIN_IMPORTS = ("default", "export", "exports", "module", "value", "type", "name", "node", "data", "key", "meta", "spec")
 

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from factloom.functions import identifiers as ids
 from factloom.functions import rules, tables
 from factloom.operators import graph, namer, naming, text
-from factloom.plans import recover
-from factloom.plans.catalog import _EDGES, _NAME, _PLACES, _SCORE, _programs, _query, _t, _trade
+from factloom.plans import recover, tasks
+from factloom.plans.catalog import _EDGES, _ENTROPY, _NAME, _PLACES, _SCORE, _programs, _query, _t, _trade
 from factloom.sources import files
 from factloom.sources.facts import facts
 from factloom.sources.initializers import CAST, VERB, lower_first
@@ -125,8 +125,24 @@ INITIALIZERS: list[Family] = [
     ("'var zq=function*(){};'", "'generatorFn'", "4"),
     (f"'var zq=()=>cc.' || {AB} || ';'", f"'get' || {UA} || {UB}", "4"),
     (f"'var zq=function(t){{return t[t.' || {UA} || '=0]=\"' || {UA} || '\"}};'", f"{A} || 'Enum'", "7"),
-    (f"'var zq=R(()=>{{exports.' || {AB} || '=1}});'", f"{AB} || 'Mod'", "7"),
-    (f"'var zq=S(()=>{{if(cc){{class ' || {UA} || 'Base{{}}}}}});'", f"{A} || 'BaseMod'", "7"),
+    (f"'var zq=S((e,m)=>{{if(cc)e.' || {AB} || '=1}});'", f"{AB} || 'Mod'", "7"),
+    (f"'var zq=R(()=>{{dd.' || {AB} || '=1}});'", f"{AB} || 'Mod'", "4"),
+    (f"'var zq=S((e,m)=>{{m.exports={{x:1,' || {AB} || ':2}}}});'", f"{AB} || 'Mod'", "7"),
+    (f"'var zq=S(()=>{{if(cc){{class ' || {UA} || 'Base{{}}}}}});'", f"{A} || 'BaseCls'", "7"),
+    (f"'var zq=S(()=>{{dd=class{{run(){{}}' || {AB} || '(){{}}}}}});'", f"{AB} || 'Cls'", "7"),
+    (f"'var zq=S(()=>{{dd=class{{constructor(){{this.' || {AB} || '=1}}}}}});'", f"{AB} || 'Cls'", "6"),
+    (f"'var zq=S(()=>{{dd=class extends ' || {UA} || 'Base{{}}}});'", f"{A} || 'BaseExt'", "5"),
+    (f"'var zq=S(()=>{{function ' || {AB} || '(){{}}}});'", f"{AB} || 'Fn'", "5"),
+    (f"'var zq=S(()=>{{dd={{x:1,' || {AB} || ':2}}}});'", f"{AB} || 'Obj'", "5"),
+    (f"'var zq=S(()=>{{dd=[\"fix\",\"' || {A} || '-' || {B} || '-comment\"]}});'", f"{AB} || 'Comment' || 'Types'", "4"),
+    ("'var zq=S(()=>{dd=/x+/});'", "'patternRegex'", "3"),
+    (f"'var zq=S(()=>{{dd={{1:cc.' || upper({A}) || '_' || upper({B}) || ',2:0}}}});'", f"{AB} || 'Map'", "5"),
+    ("'var zq=S(()=>{dd=new Uint8Array(9)});'", "'uint8ArrayTable'", "3"),
+    (f"'var zq=S(()=>{{var dd=Ce(\"node:' || {A} || '_' || {B} || '\")}});'", f"{AB} || 'Mod'", "7"),
+    (f"'var zq=S(()=>{{var{{' || {AB} || 'Key:dd}}=cc()}});'", f"{AB} || 'KeyMod'", "7"),
+    (f"'var zq=S(()=>{{var dd=Symbol(\"' || {A} || '\")}});'", f"'sym_' || {A}", "6"),
+    (f"'var zq=S(()=>{{(function(t){{t.' || {AB} || '=1}})(dd)}});'", f"{AB} || 'Enum'", "7"),
+    ("'var zq=S(()=>{dd=()=>{let t={string:{unit:1}}}});'", "'localeMod'", "6"),
     table(tables.MODULES, 'import zq from "', '";', lambda k, v: v, lambda k, v: 8),
     table(tables.MODULES, 'import * as zq from "node:', '";', lambda k, v: v, lambda k, v: 8),
     (f"'import {{' || {A} || ' as zq}} from \"x\";'", A, "7"),
@@ -494,3 +510,19 @@ def q_declared_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = naming.init_histogram(facts(_programs(spark, sf_dir), "key", "text"))
     kind = F.when(F.col("kind").startswith("Call:"), "Call:other").otherwise(F.col("kind"))
     return found.groupBy("key", kind.alias("kind")).agg(F.sum("n").alias("n"))
+
+
+_WORDS = f"SELECT key, text, token, count(*) AS n FROM (SELECT conv_id * 1000 + turn AS key, text, unnest(regexp_extract_all(text, '{ids.IDENTIFIER}')) AS token FROM conversations) GROUP BY ALL"
+
+
+@_query(f"""WITH w AS ({_WORDS}), r AS (SELECT key, token, row_number() OVER (PARTITION BY key ORDER BY n DESC, token) - 1 AS rank FROM w WHERE round({_SCORE}, 9) > 0.4)
+    SELECT 'frequencyMap' AS task, key, token, n::DOUBLE AS value FROM w UNION ALL SELECT 'entropy', key, token, round({_ENTROPY}, 6) FROM w
+    UNION ALL SELECT 'positional', key, token, round(1 - (instr(text, token) - 1) / length(text), 6) FROM w UNION ALL SELECT 'rank', key, token, rank FROM r""")
+def q_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The analyses that give a number for each identifier of a turn."""
+    c = _t(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), "text")
+    found = None
+    for task, value in (("frequencyMap", "n"), ("entropy", "entropy"), ("positional", "score"), ("rank", "rank")):
+        part = tasks.run_task(task, c).select(F.lit(task).alias("task"), "key", F.col("name").alias("token"), F.round(F.col(value).cast("double"), 6).alias("value"))
+        found = part if found is None else found.unionByName(part)
+    return found

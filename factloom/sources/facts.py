@@ -175,7 +175,7 @@ class _Facts:
             alias = name_of(p["value"]) if key else None
             if alias and alias != key and len(key) >= 4:
                 self.add("binding", alias)
-                if key not in rules.PLAIN_PROPERTIES:
+                if key not in tables.PLAIN_KEYS:
                     self.add("init", alias, key, 7)
 
     def begins(self, init: dict | None) -> str:
@@ -246,7 +246,7 @@ class _Facts:
             obj, prop = member_of(value)
             if prop == "default" and obj:
                 self.add("derive", name, f"{obj} Default", 17)
-            elif declared and prop and len(prop) >= 7 and prop not in rules.PLAIN_PROPERTIES:
+            elif declared and prop and len(prop) >= 7 and prop not in tables.PLAIN_VALUES:
                 self.add("late", name, lower_first(prop) + "Val", 10)
         elif kind == "AssignmentExpression" and declared:
             constant = constant_of(value)

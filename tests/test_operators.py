@@ -101,6 +101,7 @@ def test_tables_are_whole():
              "MEMBER_NAMES": 104, "GLOBAL_ALIASES": 32, "CLASS_ROLES": 32, "ERROR_CLASSES": 8, "SURE_CLASSES": 17, "GLOBAL_CALLS": 8, "SWITCH_WORDS": 6, "FUNCTION_ARGUMENTS": 18}
     assert {k: len(getattr(tables, k)) for k in sizes} == sizes
     assert len(rules.EVENTS) == 68 and 2 * len(tables.MODULES) + len(tables.MODULE_PATHS) == 58
+    assert all(len(v) <= 200 for v in vars(tables).values() if isinstance(v, (dict, tuple)))
     assert len(tables.METHOD_ARGUMENTS) + len(tables.ALL_ARGUMENTS) == 51
 
 
