@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import rules, tables
 from factloom.plans.scratch import bound_batches, cut
-from factloom.sources.initializers import builder_name, camel, constant_of, enum_member, factory_name, helper_name, hint, is_text, lower_first, member_of, name_of, upper_first
+from factloom.sources.initializers import below, builder_name, camel, constant_of, enum_member, factory_name, helper_name, hint, is_text, lower_first, member_of, name_of, upper_first
 from factloom.sources.javascript import SourceError, lines_before, parse, split_statements, walk
 
 Fact = tuple[str, str, str, int, int]
@@ -299,8 +299,7 @@ class _Facts:
                 if kind:
                     self.add("returns", name, kind, 3)
                 continue
-            for v in n.values():
-                stack.extend([v] if isinstance(v, dict) else [x for x in v if isinstance(x, dict)] if isinstance(v, list) else [])
+            stack += below(n)
 
     # Uses
 
