@@ -78,7 +78,7 @@ def one_by_one(bases):
     return out
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.sampled_from(["a", "a_2", "a_3", "a_2_2", "b", "b_2", "a_4"]), min_size=1, max_size=30))
 def test_unique_names_are_those_of_one_by_one(spark, bases):
     rows = spark.createDataFrame([(g, k, b) for g in (1, 2) for k, b in enumerate(bases)], "g int, id int, base string")
