@@ -203,7 +203,7 @@ USES: list[Family] = [
 ]
 
 
-@_query(expected(USES, "type", "score"))
+@_query(f"SELECT key, type, score::BIGINT AS score FROM ({expected(USES, 'type', 'score')})")
 def q_usage_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a use of each kind says of a name, over all rows of the tables of properties, events, classes and switches."""
     found = naming.usage_types(facts(sources(spark, sf_dir, USES), "key", "text"))
@@ -233,7 +233,7 @@ _CONSTANTS = {constants[:least]: _best_namespace(constants[:least]) for _, _, le
 NAMESPACES: list[Family] = [table(_CONSTANTS, "cc(", ");", _first, _second, _members)]
 
 
-@_query(f"SELECT 'read' AS how, * FROM ({expected(SHAPES_READ, 'candidate', 'score')}) UNION ALL SELECT 'taken', * FROM ({expected(SHAPES_TAKEN, 'candidate', 'score')}) UNION ALL SELECT 'constants', * FROM ({expected(NAMESPACES, 'candidate', 'score')})")
+@_query(f"SELECT how, key, candidate, score::BIGINT AS score FROM (SELECT 'read' AS how, * FROM ({expected(SHAPES_READ, 'candidate', 'score')}) UNION ALL SELECT 'taken', * FROM ({expected(SHAPES_TAKEN, 'candidate', 'score')}) UNION ALL SELECT 'constants', * FROM ({expected(NAMESPACES, 'candidate', 'score')}))")
 def q_shape_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names by the properties that are read or taken out, and by constants, over all rows of their tables."""
     read, taken, constants = (facts(sources(spark, sf_dir, f), "key", "text") for f in (SHAPES_READ, SHAPES_TAKEN, NAMESPACES))
@@ -423,7 +423,7 @@ def q_ask(spark: SparkSession, sf_dir: str) -> DataFrame:
 RUNS: list[Family] = [(f"'var ab=\"/' || {A} || '\";var zq;synchronizer' || {B} || '(zq);'",)]
 
 
-@_query("SELECT p_partkey * 100 AS key, 2 AS bindings, 1 AS static, 1 AS llm, 0 AS graph, 2 AS total, 0 AS uncertain, 100.0::DOUBLE AS coverage FROM part")
+@_query("SELECT p_partkey * 100 AS key, 2::BIGINT AS bindings, 1::BIGINT AS static, 1::BIGINT AS llm, 0::BIGINT AS graph, 2::BIGINT AS total, 0::BIGINT AS uncertain, 100.0::DOUBLE AS coverage FROM part")
 def q_full_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by origin of a whole run: evidence, then the namer about what is left, then the graph."""
     texts = sources(spark, sf_dir, RUNS)
@@ -465,14 +465,14 @@ def q_symbol_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("key", "json", F.md5(F.col("markdown").cast("binary")).alias("markdown"))
 
 
-@_query("SELECT p_partkey AS key, 1::BIGINT AS lines, 'unknown' AS bundler, 5 AS renamed, 0 AS modules, 6 AS symbols FROM part")
+@_query("SELECT p_partkey AS key, 1::BIGINT AS lines, 'unknown' AS bundler, 5::BIGINT AS renamed, 0::BIGINT AS modules, 6::BIGINT AS symbols FROM part")
 def q_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of a whole run for each program."""
     found = recover.recover(_programs(spark, sf_dir)).report
     return found.select("key", F.col("lines").cast("long").alias("lines"), "bundler", "renamed", "modules", "symbols")
 
 
-@_query("SELECT p_partkey AS key, 5 AS bindings, 5 AS static, 0 AS late, 0 AS seed, 5 AS total, 0 AS uncertain, 100.0::DOUBLE AS coverage FROM part")
+@_query("SELECT p_partkey AS key, 5::BIGINT AS bindings, 5::BIGINT AS static, 0::BIGINT AS late, 0::BIGINT AS seed, 5::BIGINT AS total, 0::BIGINT AS uncertain, 100.0::DOUBLE AS coverage FROM part")
 def q_stats_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of bindings and of names by origin for each program."""
     found = facts(_programs(spark, sf_dir), "key", "text").persist()

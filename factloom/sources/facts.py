@@ -433,25 +433,41 @@ SPLIT_CHARS = 1 << 20
 _FACT = "ordinal int, kind string, name string, detail string, score int, line int"
 
 
+#: Facts of so many rows, about, are handed on at once.
+FACT_ROWS = 50_000
+
+
 def _rows(keys, sources, parts=None):
-    """Batches of facts of texts, one text at a time; ``parts``: (number, line, place, size) of each, if they are parts."""
+    """Batches of facts of texts, parsed one at a time; ``parts``: (number, line, place, size) of each, if they are parts."""
     import pyarrow as pa
 
+    kinds = [pa.string()] * 3 + [pa.int32()] * 2
+    held: list[Fact] = []
+    whose, places, numbers = [], [], []
+
+    def batch() -> pa.RecordBatch:
+        columns = zip(*held, strict=True)
+        arrays = [keys.take(pa.array(whose, pa.int64())), pa.array(places, pa.int32()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))]
+        names = ["key", "ordinal", "kind", "name", "detail", "score", "line"]
+        if parts:
+            arrays.append(pa.array(numbers, pa.int32()))
+            names.append("part")
+        return pa.RecordBatch.from_arrays(arrays, names)
+
     for k, source in enumerate(sources):
         number, *where = parts[k] if parts else (None, 0, 0, None)
         rows = facts_of(source.as_py() or "", *where)
-        for at in range(0, len(rows), 50_000):
-            part = rows[at : at + 50_000]
-            columns = list(zip(*part, strict=True))
-            arrays = [
-                pa.array([keys[k].as_py()] * len(part), keys.type), pa.array(range(at, at + len(part)), pa.int32()),
-                *(pa.array(c, pa.string()) for c in columns[:3]), *(pa.array(c, pa.int32()) for c in columns[3:]),
-            ]
-            names = ["key", "ordinal", "kind", "name", "detail", "score", "line"]
-            if parts:
-                arrays.append(pa.array([number] * len(part), pa.int32()))
-                names.append("part")
-            yield pa.RecordBatch.from_arrays(arrays, names)
+        for at in range(0, len(rows), FACT_ROWS):
+            part = rows[at : at + FACT_ROWS]
+            held += part
+            whose += [k] * len(part)
+            places += range(at, at + len(part))
+            numbers += [number] * len(part)
+            if len(held) >= FACT_ROWS:
+                yield batch()
+                held, whose, places, numbers = [], [], [], []
+    if held:
+        yield batch()
 
 
 def _whole(batches: Iterator) -> Iterator:
