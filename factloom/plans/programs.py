@@ -16,7 +16,7 @@ from factloom.operators import graph, namer, naming, text
 from factloom.plans import recover, tasks
 from factloom.plans.catalog import _EDGES, _ENTROPY, _NAME, _PLACES, _SCORE, _programs, _query, _t, _trade
 from factloom.sources import files
-from factloom.sources.facts import facts
+from factloom.sources.facts import facts, of_texts
 from factloom.sources.initializers import CAST, VERB, lower_first
 
 A, B = "split_part(p_name, ' ', 1)", "split_part(p_name, ' ', 2)"
@@ -41,17 +41,35 @@ def pick(values: list, quote: bool = True) -> str:
     return f"(CASE p_partkey % {len(values)} {cases} END)"
 
 
+def nth(values: list) -> str:
+    """As ``pick``, for Spark: a look-up instead of a chain of cases."""
+    return f"get(array({', '.join(map(lit, values))}), CAST(p_partkey % {len(values)} AS INT))"
+
+
 def table(rows: dict | list, before: str, after: str, name, score, key=lambda k: k) -> Family:
     """A family for the rows of a table: the key between two texts, the name and score of each."""
     rows = list(rows.items()) if isinstance(rows, dict) else [(r, r) for r in rows]
     told = pick([name(k, v) for k, v in rows])
-    return (f"{lit(before)} || {pick([key(k) for k, _ in rows])} || {lit(after)}", told, pick([score(k, v) for k, v in rows], False))
+    return (f"{lit(before)} || {nth([key(k) for k, _ in rows])} || {lit(after)}", told, pick([score(k, v) for k, v in rows], False))
 
 
 def sources(spark: SparkSession, sf_dir: str, families: list[Family]) -> DataFrame:
-    """key, text: the programs of all families; a key is a part's number times a hundred and the family's."""
-    each = F.array(*(F.struct(F.lit(k).alias("k"), F.expr(f[0]).alias("text")) for k, f in enumerate(families)))
-    return _t(spark, sf_dir, "part").select("p_partkey", F.explode(each).alias("f")).select((F.col("p_partkey") * 100 + F.col("f.k")).alias("key"), "f.text")
+    """key, text: the programs of all families; a key is a part's number times a hundred and the family's.
+
+    A small table is one partition, however many programs it makes, so parts are dealt first, with the words that all families take.
+    """
+    words = {UA: "ua", UB: "ub", A: "a", B: "b"}
+
+    def program(f: Family) -> str:
+        told = f[0]
+        for long, short in words.items():
+            told = told.replace(long, short)
+        return told
+
+    each = F.array(*(F.struct(F.lit(k).alias("k"), F.expr(program(f)).alias("text")) for k, f in enumerate(families)))
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    part = _t(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", *(F.expr(e).alias(n) for e, n in words.items()))
+    return part.repartition(tasks).select("p_partkey", F.explode(each).alias("f")).select((F.col("p_partkey") * 100 + F.col("f.k")).alias("key"), "f.text")
 
 
 def expected(families: list[Family], *names: str) -> str:
@@ -159,8 +177,8 @@ INITIALIZERS: list[Family] = [
 @_query(expected(INITIALIZERS, "candidate", "score"))
 def q_initializers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an initializer of each kind says, over all rows of the tables of calls, members, globals, modules and roles."""
-    found = naming.initial_names(facts(sources(spark, sf_dir, INITIALIZERS), "key", "text"))
-    return found.where("name = 'zq'").select("key", "candidate", "score")
+    told = lambda found: naming.initial_names(found).where("name = 'zq'").select("key", "candidate", "score")
+    return of_texts(sources(spark, sf_dir, INITIALIZERS), "key", "text", told)
 
 
 def _use(program: str, kind: str, score: int) -> Family:

@@ -233,3 +233,22 @@ def test_whole_run_from_files_and_a_stream(spark, tmp_path):
     assert naming.rename_map(found, extra=extra).first()["semantic"] == "gizmo"
     ingest.write_facts(ingest.stream_sources(spark, str(folder)), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).where("kind = 'symbol'").count() == 3
+
+
+def test_each_different_text_is_parsed_once(spark):
+    from factloom.operators import naming
+    from factloom.sources.facts import facts, of_texts
+
+    long = 'var zq="/' + "x" * 80 + '";'
+    texts = ['var zq="/run";', long, "", None, "var zq=(", "var zq=[],aa={}"]
+    rows = spark.createDataFrame([(k, texts[k % 6]) for k in range(60)], "key long, text string")
+    parsed = []
+
+    def run(found):
+        parsed.append(found.select("key").distinct().count())
+        return naming.initial_names(found)
+
+    want = sorted(map(tuple, naming.initial_names(facts(rows, "key", "text")).collect()))
+    for most in (200_000, 0):
+        assert sorted(map(tuple, of_texts(rows, "key", "text", run, most).collect())) == want
+    assert len(want) == 40 and parsed == [4, 4]
