@@ -224,8 +224,8 @@ USES: list[Family] = [
 @_query(f"SELECT key, type, score::BIGINT AS score FROM ({expected(USES, 'type', 'score')})")
 def q_usage_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a use of each kind says of a name, over all rows of the tables of properties, events, classes and switches."""
-    found = naming.usage_types(facts(sources(spark, sf_dir, USES), "key", "text"))
-    return found.where("name = 'zq'").select("key", "type", "score")
+    told = lambda found: naming.usage_types(found).where("name = 'zq'").select("key", "type", "score")
+    return of_texts(sources(spark, sf_dir, USES), "key", "text", told)
 
 
 def _best_shape(props: tuple[str, ...]) -> tuple[str, int]:

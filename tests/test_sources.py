@@ -252,3 +252,22 @@ def test_each_different_text_is_parsed_once(spark):
     for most in (200_000, 0):
         assert sorted(map(tuple, of_texts(rows, "key", "text", run, most).collect())) == want
     assert len(want) == 40 and parsed == [4, 4]
+
+
+@pytest.mark.parametrize("name", ["q_initializers", "q_usage_types"])
+def test_queries_parse_no_program_twice(spark, monkeypatch, name):
+    import sys
+
+    from factloom.plans import catalog, programs
+
+    module, seen = sys.modules["factloom.sources.facts"], []
+
+    def counted(df, key, text, real=module.facts):
+        seen.append(df.count() - df.select(text).distinct().count())
+        return real(df, key, text)
+
+    query = catalog.queries()[name]
+    monkeypatch.setattr(module, "facts", counted)
+    monkeypatch.setattr(programs, "facts", counted)
+    query(spark, "/root/testdata/sf0.001")
+    assert seen == [0]
