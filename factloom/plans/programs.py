@@ -294,8 +294,8 @@ DIRECT: list[Family] = [
 @_query(expected(DIRECT, "type", "score"))
 def q_direct_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Types that an assignment itself shows: properties, operators, functions whose returns have one type."""
-    found = naming.direct_types(facts(sources(spark, sf_dir, DIRECT), "key", "text"))
-    return found.where("name = 'zq'").select("key", "type", "score")
+    told = lambda found: naming.direct_types(found).where("name = 'zq'").select("key", "type", "score")
+    return of_texts(sources(spark, sf_dir, DIRECT), "key", "text", told)
 
 
 LATE: list[Family] = [
