@@ -325,8 +325,8 @@ LATE[15] = (f"'var zq;' || {LATE[15][0]}", LATE[15][1])
 def q_late_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New names where there is no other evidence: wrappers, factories, builders, constants, helpers, links, seeds."""
     seeds = spark.createDataFrame([("zq", "seeded")], "mangled string, semantic string")
-    found = naming.rename_map(facts(sources(spark, sf_dir, LATE), "key", "text"), seeds, hints=False)
-    return found.where("mangled = 'zq'").select("key", "semantic")
+    told = lambda found: naming.rename_map(found, seeds, hints=False).where("mangled = 'zq'").select("key", "semantic")
+    return of_texts(sources(spark, sf_dir, LATE), "key", "text", told)
 
 
 _NL = "chr(10)"

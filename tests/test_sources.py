@@ -254,7 +254,7 @@ def test_each_different_text_is_parsed_once(spark):
     assert len(want) == 40 and parsed == [4, 4]
 
 
-@pytest.mark.parametrize("name", ["q_initializers", "q_direct_types", "q_usage_types"])
+@pytest.mark.parametrize("name", ["q_initializers", "q_late_names", "q_direct_types", "q_usage_types"])
 def test_queries_parse_no_program_twice(spark, monkeypatch, name):
     import sys
 
