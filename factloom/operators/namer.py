@@ -7,18 +7,18 @@ contexts alone.
 
 from __future__ import annotations
 
+import bisect
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.identifiers import context_lines, context_window, pattern_contexts, valid_answer
+from factloom.functions.identifiers import IDENTIFIER, context_lines, context_window, pattern_contexts, valid_answer
 from factloom.operators import evidence
-from factloom.operators.text import placed_tokens
-from factloom.plans.scratch import cut
+from factloom.plans.scratch import bound_batches, cut
 
 Namer = Callable[[str], str]
 
@@ -60,19 +60,94 @@ def contexts(rest: DataFrame, sources: DataFrame, most: int = 600) -> DataFrame:
     return rest.select("key", "name").join(sources.select("key", "text"), "key").select("key", "name", context_lines(F.col("text"), F.col("name"), most=most).alias("context"))
 
 
+#: Snippets of so many names, or characters, about, are handed on at once.
+SNIPPET_ROWS, SNIPPET_CHARS = 4096, 4_000_000
+_IDENTIFIER, _SPACES, _RUNS, _USED = re.compile(IDENTIFIER), re.compile(r"\s+", re.ASCII), re.compile(r"\s{2,}", re.ASCII), re.compile(r" *[.(]")
+# fixed value: what may end a line, where an expression's ``$`` also matches
+_ENDS = ("\r\n", "\n", "\r", "\x85", "\u2028", "\u2029")
+
+
+def _after_sign(gap: str) -> bool:
+    gap = gap.rstrip(" ")
+    if gap.endswith(_ENDS):
+        gap = gap.removesuffix(next(e for e in _ENDS if gap.endswith(e)))
+    return gap.endswith(("=", ",", "("))
+
+
+def snippets_of(source: str, names: Iterable[str], around: int = 400, k: int = 5, most: int = 400) -> Iterator[tuple[str, str]]:
+    """(name, snippets) of one text: a pass for the places, another for the spaces; a place's snippet is a slice.
+
+    Places are taken from the most telling on until ``k`` different snippets are found.
+    """
+    wanted: dict[str, list[tuple[int, int]]] = {n: [] for n in names}
+    last, used = 0, _USED.match
+    for m in _IDENTIFIER.finditer(source):
+        start, end = m.span()
+        places = wanted.get(m[0])
+        if places is not None:
+            gap = source[last:start]
+            score = (2 if gap != " " and _after_sign(gap) else 0) + (1 if used(source, end) else 0)
+            places.append((-score, start))
+        last = end
+    flat = _SPACES.sub(" ", source)
+    begins, ends, gone = [], [], [0]
+    for m in _RUNS.finditer(source):
+        begins.append(m.start())
+        ends.append(m.end())
+        gone.append(gone[-1] + m.end() - m.start() - 1)
+
+    def place(at: int) -> int:
+        """Where a place of the text is once its runs of spaces are single ones."""
+        r = bisect.bisect_left(begins, at) - 1
+        return at if r < 0 else at - gone[r] - min(at, ends[r]) + begins[r] + 1
+
+    for name, places in wanted.items():
+        found: dict[str, None] = {}
+        places.sort()
+        for _, start in places:
+            found[flat[place(max(start - around, 0)) : place(start + around + len(name))].strip(" ")[:most]] = None
+            if len(found) == k:
+                break
+        if found:
+            yield name, " | ".join(found)
+
+
+def snippets(sources: DataFrame, around: int = 400, k: int = 5) -> DataFrame:
+    """key, name, snippets, as :func:`occurrences`, of the ``names`` (an array) of each text; every text is read once, where it is."""
+    kind = dict(sources.dtypes)["key"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keys, held, size = batch.column(0), [], 0
+
+            def made(keys=keys, held=held):
+                whose, names, told = zip(*held, strict=True)
+                return pa.RecordBatch.from_arrays([keys.take(pa.array(whose, pa.int64())), pa.array(names, pa.string()), pa.array(told, pa.string())], ["key", "name", "snippets"])
+
+            for i, (source, names) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
+                for name, told in snippets_of(source.as_py() or "", names.as_py() or (), around, k):
+                    held.append((i, name, told))
+                    size += len(told)
+                    if len(held) >= SNIPPET_ROWS or size >= SNIPPET_CHARS:
+                        yield made()
+                        held.clear()
+                        size = 0
+            if held:
+                yield made()
+
+    bound_batches(sources.sparkSession)
+    return sources.select("key", "text", "names").mapInArrow(run, f"key {kind}, name string, snippets string")
+
+
 def occurrences(rest: DataFrame, sources: DataFrame, around: int = 400, k: int = 5) -> DataFrame:
     """key, name, snippets: of all whole-word places the ``k`` most telling distinct ones.
 
     A place scores 2 after ``=``, ``,`` or ``(`` and 1 before ``.`` or ``(``; ties go to the earlier.
     """
-    placed = placed_tokens(sources.select("key", "text"), "key", "text").join(rest.select("key", "name"), ["key", "name"], "left_semi")
-    score = F.when(F.rtrim("before").rlike(r"[=,(]$"), 2).otherwise(0) + F.when(F.ltrim("after").rlike(r"^[.(]"), 1).otherwise(0)
-    placed = placed.select("key", "name", F.col("ordinal").alias("at"), score.alias("score"), F.col("pos").cast("int").alias("start")).join(sources.select("key", "text"), "key")
-    left = F.greatest(F.col("start") - around + 1, F.lit(1))
-    snippet = F.substring(F.trim(F.regexp_replace(F.substring(F.col("text"), left, F.col("start") + 1 + around + F.length("name") - left), r"\s+", " ")), 1, 400)
-    distinct = placed.select("key", "name", "score", "at", snippet.alias("snippet")).groupBy("key", "name", "snippet").agg(F.max(F.struct("score", -F.col("at"))).alias("b"))
-    top = F.array_sort(F.collect_list(F.struct((-F.col("b.score")).alias("s"), (-F.col("b.col2")).alias("at"), "snippet")))
-    return distinct.groupBy("key", "name").agg(F.array_join(F.transform(F.slice(top, 1, k), lambda x: x["snippet"]), " | ").alias("snippets"))
+    names = rest.groupBy("key").agg(F.collect_set("name").alias("names"))
+    return snippets(sources.select("key", "text").join(names, "key"), around, k)
 
 
 def windows(rest: DataFrame, sources: DataFrame) -> DataFrame:

@@ -548,9 +548,9 @@ def q_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def q_context_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most telling places of every minified name of every document."""
-    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
-    rest = text.placed_tokens(docs, "key", "text").where(ids.is_minified(F.col("name"), "rename")).select("key", "name").distinct()
-    return namer.occurrences(rest, docs).select(F.col("key").alias("doc_id"), "name", F.md5(F.col("snippets").cast("binary")).alias("digest"))
+    names = F.array_distinct(F.filter(text.identifiers(F.col("text")), lambda n: ids.is_minified(n, "rename")))
+    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text", names.alias("names"))
+    return namer.snippets(docs).select(F.col("key").alias("doc_id"), "name", F.md5(F.col("snippets").cast("binary")).alias("digest"))
 
 
 _PLACED = f"""SELECT key, name, (sum(length(g) + length(name)) OVER (PARTITION BY key ORDER BY i) - length(name))::BIGINT AS pos FROM (SELECT conv_id * 1000 + turn AS key, unnest(range(0, len(w))) AS i, unnest(w) AS name, unnest(g[1:len(w)]) AS g

@@ -1,6 +1,7 @@
 """The parser, facts, naming, layout, namer, whole runs and streams on small sources."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -190,6 +191,32 @@ def test_occurrences_prefer_telling_places(spark):
     assert [(r["key"], r["snippets"]) for r in got] == [(1, "= ab.c | ab; x")]
 
 
+def test_snippets_of_a_text_read_it_once(spark):
+    import random
+
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(["ab", "ab", "c", "ab1", "(", "=", ",", ".", " ", "  ", "\n", "\r\n", "\t \n", "\u2028", "\u00e9", "\U0001f600", "5"]) for _ in range(rng.choice([0, 3, 40, 200]))) for _ in range(40)]
+
+    def plain(source, name, around, k):
+        found = {}
+        places = [m.span() for m in re.finditer(r"[A-Za-z_$][A-Za-z0-9_$]*", source) if m[0] == name]
+        sign = r"[=,(](\r\n|[\n\r\x85\u2028\u2029])? *\Z"
+        score = lambda a, b: 2 * bool(re.search(sign, source[:a])) + bool(re.match(r" *[.(]", source[b:]))
+        for a, b in sorted(places, key=lambda p: (-score(*p), p[0])):
+            found[re.sub(r"\s+", " ", source[max(a - around, 0) : b + around], flags=re.ASCII).strip(" ")[:400]] = None
+        return " | ".join(list(found)[:k])
+
+    for around, k in ((3, 2), (400, 5)):
+        for source in texts:
+            want = {n: plain(source, n, around, k) for n in ("ab", "c", "ab1") if plain(source, n, around, k)}
+            assert dict(namer.snippets_of(source, ["ab", "c", "ab1", "zz"], around, k)) == want
+    # each occurrence was a row with the whole text before: 6,000 rows of 24,000 characters
+    sources = spark.createDataFrame([(1, "ab; " * 6000), (2, None)], "key int, text string")
+    rest = spark.createDataFrame([(1, "ab"), (2, "ab")], "key int, name string")
+    plan = namer.occurrences(rest, sources)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Window" not in plan and namer.occurrences(rest, sources).count() == 1
+
+
 def test_neighbours_give_numbered_names(spark):
     toks = spark.createDataFrame([(1, "ab", 0), (1, "pq", 50), (1, "ab", 80), (1, "pq", 500), (1, "cd", 510), (1, "cd", 520)], "key int, name string, pos int")
     rest = spark.createDataFrame([("ab",), ("cd",)], "name string")
